@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import bpe, pii
+from factlake.llm import bpe, fingerprint, html, licenses, pii
 from factlake.llm._common import read
 
 
@@ -15,13 +15,28 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(read(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses found in all documents."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all documents, with estimates against their source's merged sketch."""
+    return fingerprint.query(read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and the text decoded from them."""
     return bpe.encode_decode(read(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of all pages."""
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_pii": op3_pii, "op7_bpe": op7_bpe}
+    return {f.__name__: f for f in (op3_pii, op4_licenses, op6_fingerprints, op7_bpe, op9_html)}
 
 
 def oracle_sql() -> dict[str, str]:
