@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import bpe, fingerprint, html, jaccard, licenses, pii
+from factlake.llm import bpe, ctw, decontam, fingerprint, html, jaccard, langid, licenses, pii, quality
 from factlake.llm._common import read
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a passage of a benchmark item, with the item."""
+    return decontam.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonyms for personal data in all documents."""
     return pii.query(read(spark, sf_dir, "documents"))
@@ -20,6 +30,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of all documents under the model of all documents."""
+    return ctw.query(read(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of all documents, with estimates against their source's merged sketch."""
     return fingerprint.query(read(spark, sf_dir, "documents"))
@@ -30,6 +45,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of all documents."""
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of all pages."""
     return html.extract(read(spark, sf_dir, "pages"))
@@ -56,7 +76,7 @@ SELECT p, q, round(hit / (an + bn - hit)::DOUBLE, 6) FROM o WHERE hit >= 0.6 * (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii, op4_licenses, op6_fingerprints, op7_bpe, op9_html, op10_jaccard)}
+    return {f.__name__: f for f in (op1_decontamination, op2_langid, op3_pii, op4_licenses, op5_ctw, op6_fingerprints, op7_bpe, op8_quality, op9_html, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
