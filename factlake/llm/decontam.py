@@ -6,7 +6,8 @@ share in place. The CGK embedding walks along the window: at each step it emits
 or stays by a random bit for (step, character), so windows a few edits apart soon walk together again and edit distance
 becomes Hamming distance. ``BITS`` positions of the first ``STEPS`` are sampled ``TABLES`` times for each of ``WALKS``
 walks; windows that agree on all sampled positions are candidates. Each is verified once for each document, item and
-offset by the exact edit distance between the whole item and the best-fitting passage there (bit-parallel).
+offset by the exact edit distance between the whole item and the best-fitting passage there (bit-parallel), unless more
+of the item's 5-grams are missing there than that many edits can destroy.
 
 A document is contaminated by an item if a passage of it is within ``floor(SHARE * length)`` edits of the item, length
 and edits in characters of the normal form. The search is approximate only in its candidates: a passage is missed if
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from factlake.llm._common import IS_WORD, buffers, chunks, mix, no_clash, words
 
 SHARE = 0.15
-STEPS, BITS, WALKS, TABLES = 40, 10, 2, 2
+STEPS, BITS, WALKS, TABLES = 48, 16, 2, 2
 #: One word in so many may start a window.
 EVERY = 2
 SLICE = 16_000_000
@@ -60,23 +61,29 @@ class Walks:
         rng = np.random.default_rng(seed)
         self.move = rng.integers(0, 2, (WALKS, STEPS, 256)).astype(np.int64)
         self.sampled = [[frozenset(rng.choice(STEPS, BITS, replace=False).tolist()) for _ in range(TABLES)] for _ in range(WALKS)]
-        self.mult = rng.integers(1, 2**63, STEPS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        mult = rng.integers(1, 2**63, (STEPS, TABLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        #: What a character at a sampled step adds to a table's key.
+        self.adds = np.arange(1, 257, dtype=np.uint64)[None, None, :] * mult[:, :, None]
 
     def keys(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         """For each table the key of each window; beyond a text's end a window has zero bytes."""
-        out = []
+        out = [np.empty(len(start), np.uint64) for _ in range(WALKS * TABLES)]
+        near = start + STEPS > end
         padded = np.concatenate([text, [np.uint8(0)]])
-        zero = len(text)
-        for w in range(WALKS):
-            at = start.copy()
-            hashes = [np.full(len(start), np.uint64(w * TABLES + k + 1)) for k in range(TABLES)]
-            for s in range(STEPS):
-                c = padded[np.where(at < end, at, zero)]
+        for rows, limit in ((np.flatnonzero(~near), None), (np.flatnonzero(near), end[near])):
+            if not len(rows):
+                continue
+            for w in range(WALKS):
+                at = start[rows]
+                hashes = [np.full(len(rows), np.uint64(w * TABLES + k + 1)) for k in range(TABLES)]
+                for s in range(max(max(x) for x in self.sampled[w]) + 1):
+                    c = padded[at] if limit is None else padded[np.where(at < limit, at, len(text))]
+                    for k in range(TABLES):
+                        if s in self.sampled[w][k]:
+                            hashes[k] += self.adds[s, k][c]
+                    at += self.move[w, s][c]
                 for k in range(TABLES):
-                    if s in self.sampled[w][k]:
-                        hashes[k] += (c.astype(np.uint64) + np.uint64(1)) * self.mult[s] * np.uint64(2 * k + 3)
-                at += self.move[w, s][c]
-            out += [mix(h) for h in hashes]
+                    out[w * TABLES + k][rows] = mix(hashes[k])
         return out
 
 
@@ -115,6 +122,11 @@ def distance(item: bytes, passage: bytes) -> tuple[int, int]:
     return best, where
 
 
+def pieces(text: bytes) -> frozenset[bytes]:
+    """A text's 5-grams; an edit destroys five at most."""
+    return frozenset({text[k : k + 5] for k in range(len(text) - 4)})
+
+
 class Index:
     """The items' normal forms and the sorted keys of their windows."""
 
@@ -124,6 +136,7 @@ class Index:
         data, offs = buffers(pc.utf8_lower(pa.array(texts, pa.string())))
         text, offs = normal(data, offs)
         self.items = [text[offs[i] : offs[i + 1]].tobytes().strip() for i in range(len(ids))]
+        self.pieces = [pieces(x) for x in self.items]
         lead = np.array([int(offs[i + 1] > offs[i] and text[offs[i]] == 32) for i in range(len(ids))], np.int64)
         at, item = starts(text, offs)
         self.tables = []
@@ -162,7 +175,10 @@ class Index:
                     continue  # the passage searched there covers this one
                 tried.append(begin)
                 lo, hi = max(int(own[d]), begin - 2 * most - 2), min(int(own[d + 1]), begin + len(item) + 2 * most + 2)
-                edits, end = distance(item, text[lo:hi].tobytes())
+                passage = text[lo:hi].tobytes()
+                if len(self.pieces[x] - pieces(passage)) > 5 * most:
+                    continue
+                edits, end = distance(item, passage)
                 if edits <= most and ((d, x) not in seen or edits < seen[d, x][0]):
                     seen[d, x] = (edits, lo + end - int(own[d]))
             out += [(i + d, x, e, p) for (d, x), (e, p) in seen.items()]
