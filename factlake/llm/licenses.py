@@ -141,7 +141,8 @@ class Scanner:
                 if share >= self.least:
                     first, last = lo + pairs[0][1], lo + pairs[-1][1]
                     found.append((name, share, len(pairs), first, last))
-                    done = last
+                    if share == 1:  # a spot after a partial finding may give a better one; the best is kept below
+                        done = last
         # of findings that overlap, the one with most aligned words stays
         kept: list[tuple[str, float, int, int, int]] = []
         for f in sorted(found, key=lambda f: (-f[2], -f[1], -len(self.words[f[0]]), f[0])):
