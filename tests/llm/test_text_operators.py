@@ -236,9 +236,11 @@ def test_quality_held_out(spark):
 
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(60, 3))
-    y = np.where(x @ [1.0, -2.0, 0.5] > 0.1, 1.0, -1.0)
-    w = quality.descend([np.arange(3)] * 60, list(x), y, 3, np.full(60, 100.0), 500)
+    x = rng.normal(size=(90, 3))
+    side = x @ [1.0, -2.0, 0.5] - 0.1
+    x, side = x[np.abs(side) > 0.4], side[np.abs(side) > 0.4]
+    y = np.sign(side)
+    w = quality.descend([np.arange(3)] * len(x), list(x), y, 3, np.full(len(x), 100.0), 500)
     assert (np.sign(x @ w[:3] + w[3]) == y).all()
 
 
