@@ -56,19 +56,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def size_of(df: DataFrame) -> int:
-    """Bytes that Catalyst expects of df; used before anything is broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def small_batches(spark: SparkSession) -> None:
+    """At most 2000 rows in an Arrow batch: documents are long, and a task holds several batches at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with fn over each batch."""
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, after which the worker gives back the memory that it has freed: workers outlive their tasks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from fn(batch)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
 
-    return df.mapInArrow(run, schema)
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return wrapped
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -182,5 +191,6 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
 
 
 def no_clash(df: DataFrame, *names: str) -> DataFrame:
-    """df with just these columns, whatever else it has."""
+    """df with just these columns, whatever else it has. Its batches are kept small on their way to Python."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])

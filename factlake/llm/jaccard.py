@@ -3,16 +3,18 @@
 Rare-first prefix filtering with length, positional and suffix filters, joined on prefix n-grams and verified once a
 pair. The result is exact: every filter only drops pairs that can't reach the threshold, and there is no cap on partners.
 
-1. One pass counts all words of the corpus in a fixed number of buckets and gives each document's set key (a hash of
-   its n-gram set), so exact copies become one record. An n-gram's code is its rarity class (from its words' counts)
-   above 56 bits of its hash: ascending codes are rare-first, the same in every task.
+1. One pass counts all words and n-grams of the corpus in fixed numbers of buckets and gives each document's set key (a
+   hash of its n-gram set), so exact copies become one record. An n-gram's code is its rarity class (no n-gram is more
+   frequent than its bucket or its rarest word) above 56 bits of its hash: ascending codes are rare-first, the same in
+   every task.
 2. Each record's prefix n-grams go to the task of their code. An n-gram that no other record has in its prefix drops.
 3. The rest go back to their records, which so learn which of their prefix n-grams are shared, and pick a few of these
    by hashing as meeting points. They then meet by code. Records with the same meeting point give their pair there and
    nowhere else; other pairs come from each n-gram they share and are made distinct after. Length and positional
-   filters hold throughout: the smaller record's n-gram must lie in its index prefix, and what follows must be enough.
+   filters hold throughout: the smaller record's n-gram must lie in its index prefix, and of the n-grams that they
+   share one must have enough behind it. A pair of records that meets nowhere must share several prefix n-grams.
 4. Pairs are verified in groups: a pair's group is the least key that either record is paired with, so a record's set
-   is sent about once, however many partners it has; large groups are split. The suffix filter compares the sets'
+   is sent to few tasks, however many partners it has; large groups are split. The suffix filter compares the sets'
    counts over hash ranges, then the overlap is counted.
 
 Records between tasks are blocks of packed arrays, one row for each target task, so that the engine moves few large rows.
@@ -35,13 +37,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm._common import buffers, chunks, distinct_per_doc, mix, ngrams, no_clash, words, written
+from factlake.llm._common import buffers, chunks, distinct_per_doc, lean, mix, ngrams, no_clash, words, written
 
 THRESHOLD, N = 0.6, 2
-#: Counters for words. Their number is fixed, and with it the size of what every task gets (4 MB).
-BUCKETS = 1 << 20
-#: Meeting points of a record.
-POINTS = 4
+#: Counters for words and for n-grams. Their numbers are fixed, and with them the size of what every task gets (8 MB).
+#: n-grams' counters are gathered in blocks of one byte each; what a task counts above 255 is gathered apart.
+BUCKETS, GRAM_BUCKETS, BLOCK = 1 << 20, 1 << 22, 1 << 16
+#: Prefix n-grams that a pair must share to be verified (all that it needs, if that is fewer): at least this many, and
+#: this share of the smaller record. Prefixes are longer by as much, so that each pair that reaches the threshold does.
+COMMON, COMMON_SHARE = 8, 16
+#: Meeting points of a record that shares at least MANY n-grams; others meet at each n-gram they share.
+POINTS, MANY = 4, 16
 #: Keys that are sent to every task (8 bytes each); beyond, Spark joins by shuffling.
 SENT_KEYS = 2_000_000
 #: Pairs of a group that one task verifies.
@@ -50,21 +56,24 @@ _MASK = np.uint64((1 << 56) - 1)
 _SIGN = np.uint64(2**63 - 1)
 
 
-def _sets(h: np.ndarray, doc: np.ndarray, docs: int, n: int, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _sets(h: np.ndarray, doc: np.ndarray, docs: int, n: int, rarity: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes of each document, ascending, and their documents."""
     grams, owner = ngrams(h, doc, docs, n)
     code = grams & _MASK
     if rarity is not None and len(h):
-        # an n-gram's class is the mean of its words' classes; the words of a gram are found by the order of both lists
-        own = rarity[h % np.uint64(BUCKETS)]
+        # the least bound decides; the most frequent word counts a little
+        own = np.concatenate([rarity[0][h % np.uint64(BUCKETS)], np.zeros(n, np.float32)])
         count = np.bincount(doc, minlength=docs)
-        total = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
         first = np.concatenate([[0], np.cumsum(count)])[:-1]
         size = np.bincount(owner, minlength=docs)
-        rank = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
-        start = first[owner] + rank
+        start = first[owner] + np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
         width = np.minimum(n, count[owner])
-        code = code | np.clip(np.rint((total[start + width] - total[start]) / width * 3), 0, 127).astype(np.uint64) << np.uint64(56)
+        low, high = own[start], own[start]
+        for k in range(1, n):
+            more = own[np.where(k < width, start + k, start)]
+            low, high = np.minimum(low, more), np.maximum(high, more)
+        low = np.minimum(low, rarity[1][(code % np.uint64(GRAM_BUCKETS)).astype(np.int64)].astype(np.float32) / 6)
+        code = code | np.clip(np.rint(low * 2.7 + high * 0.3), 0, 127).astype(np.uint64) << np.uint64(56)
     return distinct_per_doc(code.astype(np.int64), owner)
 
 
@@ -77,7 +86,7 @@ def _keys(codes: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray,
     return (mix((total[edge[1:]] - total[edge[:-1]]) ^ size.astype(np.uint64)) & _SIGN).astype(np.int64), size
 
 
-def _batch(col: pa.Array, n: int, rarity: np.ndarray | None) -> Iterator[tuple]:
+def _batch(col: pa.Array, n: int, rarity: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple]:
     """(first row, end row, word hashes, codes, owners) of each chunk of a batch."""
     data, offs = buffers(pc.utf8_lower(col))
     for i, j in chunks(offs):
@@ -85,58 +94,117 @@ def _batch(col: pa.Array, n: int, rarity: np.ndarray | None) -> Iterator[tuple]:
         yield i, j, h, *_sets(h, doc, j - i, n, rarity)
 
 
+_SCAN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("part", pa.int32()), ("block", pa.binary())])
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    """A batch of the scan's columns, null where none is given."""
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _SCAN], schema=_SCAN)
+
+
 def _scan(df: DataFrame, n: int) -> DataFrame:
-    """Set keys of all documents and, once a task, its counts of words by bucket; one table of both."""
+    """Set keys of all documents and, once a task, its counts by bucket: words, and documents of each n-gram; one table of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "key", "size", "bucket", "n"]
+        counts, grams = np.zeros(BUCKETS, np.int64), np.zeros(GRAM_BUCKETS, np.uint16)
         for b in batches:
             for i, j, h, codes, owner in _batch(b.column(1), n, None):
                 counts += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                at, n_at = np.unique((codes % GRAM_BUCKETS).astype(np.uint32), return_counts=True)
+                grams[at] = np.minimum(grams[at] + n_at, 65535)  # beyond, only that it is frequent matters
                 key, size = _keys(codes, owner, j - i)
                 keep = np.flatnonzero(size)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(keep)), pa.array(key[keep]), pa.array(size[keep].astype(np.int32)),
-                                                  pa.nulls(len(keep), pa.int32()), pa.nulls(len(keep), pa.int64())], names)
-        at = np.flatnonzero(counts)
+                yield _rows(doc_id=b.column(0).slice(i, j - i).take(pa.array(keep)), key=pa.array(key[keep]))
+        more = np.flatnonzero(grams > 255)
+        at = np.concatenate([np.flatnonzero(counts), more + BUCKETS])
+        n_at = np.concatenate([counts[counts > 0], grams[more].astype(np.int64) - 255])
         for lo in range(0, len(at), 200_000):
-            own = at[lo : lo + 200_000]
-            none = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(own), pa.int32()), pa.array(own.astype(np.int32)), pa.array(counts[own])], names)
+            yield _rows(bucket=pa.array(at[lo : lo + 200_000].astype(np.int32)), n=pa.array(n_at[lo : lo + 200_000]))
+        if grams.any():
+            small = np.minimum(grams, 255).astype(np.uint8)
+            yield _rows(part=pa.array(np.arange(GRAM_BUCKETS // BLOCK, dtype=np.int32)), block=pa.array([small[lo : lo + BLOCK].tobytes() for lo in range(0, GRAM_BUCKETS, BLOCK)], pa.binary()))
+
+    return df.mapInArrow(lean(run), "doc_id long, key long, bucket int, n long, part int, block binary")
 
-    return df.mapInArrow(run, "doc_id long, key long, size int, bucket int, n long")
 
+def _rarity(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the words' counts, and sixths of those of the n-grams' counts, by bucket."""
+    words_, grams = np.ones(BUCKETS, np.int64), np.zeros(GRAM_BUCKETS, np.int32)
 
-def _pack(part: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """Rows (part, block): the columns' values of each part, packed."""
-    order = np.argsort(part, kind="stable")
-    edge = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-    columns = [c[order] for c in columns]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, x in zip(b.column(0).to_pylist(), b.column(1)):
+                by.setdefault(p, np.zeros(BLOCK, np.int32))[:] += np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([v.tobytes() for v in by.values()], pa.binary())], ["part", "block"])
+
+    blocks = scanned.where("part IS NOT NULL").select("part", "block").repartition("part").mapInArrow(lean(add), "part int, block binary")
+    for b in blocks.toArrow().to_batches():
+        for p, x in zip(b.column(0).to_pylist(), b.column(1)):
+            grams[p * BLOCK : (p + 1) * BLOCK] = np.frombuffer(x.as_buffer(), np.int32)
+    for b in scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        at, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+        words_[at[at < BUCKETS]] = n[at < BUCKETS]
+        grams[at[at >= BUCKETS] - BUCKETS] += np.minimum(n[at >= BUCKETS], 2**30).astype(np.int32)
+    return np.log2(words_).astype(np.float32), np.concatenate([np.clip(np.rint(np.log2(np.maximum(grams[k : k + BLOCK], 1)) * 6), 0, 255).astype(np.uint8) for k in range(0, GRAM_BUCKETS, BLOCK)])
+
+
+def _pack(part: np.ndarray, parts: int, codes: np.ndarray, place: np.ndarray, key: np.ndarray, size: np.ndarray, *points: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, block). A block has its records' keys, sizes, points and numbers of n-grams, then the n-grams' codes (6 bytes) and places."""
+    order = np.lexsort((key, part)) if len(part) else np.zeros(0, np.int64)
+    part, codes, place, key, size = part[order], codes[order], place[order], key[order], size[order]
+    head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.concatenate([head, [len(key)]])).astype(np.int32)
+    edge, heads = np.searchsorted(part, np.arange(parts + 1)), np.searchsorted(part[head], np.arange(parts + 1))
+    points = [p[order][head] for p in points]
+    low, high = codes.astype(np.uint32), (codes >> np.int64(32)).astype(np.uint16)
+    near, far = place.astype(np.uint16), (place >> 16).astype(np.uint8)
     used = np.flatnonzero(np.diff(edge))
-    blocks = [b"".join(c[edge[p] : edge[p + 1]].tobytes() for c in columns) for p in used]
+    blocks = []
+    for p in used:
+        r, x = slice(heads[p], heads[p + 1]), slice(edge[p], edge[p + 1])
+        blocks.append(b"".join([np.int64(heads[p + 1] - heads[p]).tobytes(), key[head[r]].tobytes(), size[head[r]].astype(np.int32).tobytes(), *[q[r].tobytes() for q in points],
+                                count[r].tobytes(), low[x].tobytes(), high[x].tobytes(), near[x].tobytes(), far[x].tobytes()]))
     return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blocks, pa.binary())], ["part", "block"])
 
 
-def _unpack(batches: Iterator[pa.RecordBatch], *types: type) -> list[np.ndarray]:
-    """The columns of all blocks of a task."""
-    width = sum(np.dtype(t).itemsize for t in types)
-    out: list[list[np.ndarray]] = [[] for _ in types]
+def _unpack(batches: Iterator[pa.RecordBatch], points: int = 0) -> list[np.ndarray]:
+    """Codes, places, keys, sizes and points of all n-grams of a task's blocks."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int32, np.int64, np.int32, *[np.uint32] * points)]
     for b in batches:
         for block in b.column(1):
-            raw, at = block.as_buffer(), 0
-            rows = raw.size // width
-            for k, t in enumerate(types):
-                out[k].append(np.frombuffer(raw, t, rows, at))
-                at += rows * np.dtype(t).itemsize
-    return [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, types)]
+            raw = block.as_buffer()
+            n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
+
+            def take(t: type, m: int) -> np.ndarray:
+                nonlocal at
+                x = np.frombuffer(raw, t, m, at)
+                at += m * np.dtype(t).itemsize
+                return x
+
+            key, size, own = take(np.int64, n), take(np.int32, n), [take(np.uint32, n) for _ in range(points)]
+            count = take(np.int32, n)
+            m = int(count.sum())
+            low, high, near, far = take(np.uint32, m), take(np.uint16, m), take(np.uint16, m), take(np.uint8, m)
+            for o, x in zip(out, (low.astype(np.int64) | high.astype(np.int64) << np.int64(32), near.astype(np.int32) | far.astype(np.int32) << np.int32(16),
+                                  np.repeat(key, count), np.repeat(size, count), *[np.repeat(q, count) for q in own])):
+                o.append(x)
+    return [np.concatenate(o) for o in out]
 
 
 def _moved(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("part"))
 
 
-def _need(t: float, size: np.ndarray) -> np.ndarray:
-    return np.ceil(t * size - 1e-9).astype(np.int64)
+def _common(size: np.ndarray) -> np.ndarray:
+    """How many prefix n-grams a record of that size must share with a larger one."""
+    return np.maximum(COMMON, size // COMMON_SHARE)
+
+
+def _last(t: float, size: np.ndarray) -> np.ndarray:
+    """The last place of a record's prefix for a partner that it must share t of its size with."""
+    return size - np.ceil(t * size - 1e-9).astype(np.int64) + _common(size) - 1
 
 
 def _prefixes(df: DataFrame, sent, n: int, t: float, parts: int) -> DataFrame:
@@ -151,15 +219,17 @@ def _prefixes(df: DataFrame, sent, n: int, t: float, parts: int) -> DataFrame:
                 once = np.zeros(j - i, np.bool_)
                 once[np.unique(key, return_index=True)[1]] = True  # exact copies in this chunk
                 place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-                use = (place <= (size - _need(t, size))[owner]) & once[owner]
-                own = owner[use]
-                for h, c in zip(held, (codes[use], key[own], size[own].astype(np.int32), place[use].astype(np.int32))):
+                use = (place <= _last(t, size)[owner]) & once[owner]
+                own, codes = owner[use], codes[use]
+                # 41 bits of the hash do for finding candidates; the order stays
+                short = codes >> np.int64(56) << np.int64(41) | (codes & np.int64(_MASK)) >> np.int64(15)
+                for h, c in zip(held, (short, place[use], key[own], size[own])):
                     h.append(c)
             if held[0]:
                 cols = [np.concatenate(h) for h in held]
                 yield _pack((mix(cols[0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, *cols)
 
-    return df.mapInArrow(run, "part int, block binary")
+    return df.mapInArrow(lean(run), "part int, block binary")
 
 
 def _grouped(codes: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,59 +253,65 @@ def _shared(df: DataFrame, parts: int) -> DataFrame:
     """Of the blocks by code, the n-grams of two records or more; blocks by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, key, size, place = _unpack(batches, np.int64, np.int64, np.int32, np.int32)
+        codes, place, key, size = _unpack(batches)
         order, _ = _grouped(codes, size, key)
         if len(order):
-            codes, key, size, place = codes[order], key[order], size[order], place[order]
-            yield _pack(key % parts, parts, codes, key, size, place)
+            yield _pack(key[order] % parts, parts, codes[order], place[order], key[order], size[order])
 
-    return df.mapInArrow(run, "part int, block binary")
+    return df.mapInArrow(lean(run), "part int, block binary")
 
 
 def _pointed(df: DataFrame, t: float, parts: int) -> DataFrame:
     """Of the blocks by key, the same with each record's meeting points; blocks by code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, key, size, place = _unpack(batches, np.int64, np.int64, np.int32, np.int32)
-        if not len(codes):
-            return
+        codes, place, key, size = _unpack(batches)
         order = np.argsort(key, kind="stable")
-        codes, key, size, place = codes[order], key[order], size[order], place[order]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        length = np.diff(np.concatenate([start, [len(key)]]))
-        index = place <= size - _need(2 * t / (1 + t), size)  # only there a pair can meet from either side
+        codes, place, key, size = codes[order], place[order], key[order], size[order]
+        for _ in range(2):  # first drop records that share too few n-grams for any partner
+            if not len(key):
+                return
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            length = np.diff(np.concatenate([start, [len(key)]]))
+            least = np.ceil(t * size - 1e-9).astype(np.int64)  # of any partner's size, and of what they share
+            enough = np.repeat(length, length) >= np.minimum(_common(least), least)
+            codes, place, key, size = codes[enough], place[enough], key[enough], size[enough]
+        index = place <= _last(2 * t / (1 + t), size)  # only there a pair can meet from either side
         points = []
         for r in range(POINTS):
             h = mix(codes.astype(np.uint64) + np.uint64(0x1234567 * (r + 1)))
             h[~index] = np.uint64(2**64 - 1)
             least = np.minimum.reduceat(h, start)
+            least[np.add.reduceat(index.astype(np.int64), start) < MANY] = np.uint64(2**64 - 1)
             points.append(np.repeat((least & np.uint64(0xFFFFFFFF)).astype(np.uint32), length))
-        yield _pack((mix(codes.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, codes, key, size, place, *points)
+        yield _pack((mix(codes.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, codes, place, key, size, *points)
 
-    return df.mapInArrow(run, "part int, block binary")
+    return df.mapInArrow(lean(run), "part int, block binary")
 
 
 def _candidates(df: DataFrame, t: float) -> DataFrame:
-    """(a, b): keys of records that may reach the threshold, most of them once."""
+    """(a, b): keys of records that may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, key, size, place, *points = _unpack(batches, np.int64, np.int64, np.int32, np.int32, *[np.uint32] * POINTS)
+        codes, place, key, size, *points = _unpack(batches, POINTS)
         order, edge = _grouped(codes, size, key)
-        codes, key, size, place = codes[order], key[order], size[order].astype(np.int64), place[order].astype(np.int64)
+        codes, key, size, place = codes[order], key[order], size[order], place[order]
         points = [p[order] for p in points]
-        indexed = place <= size - _need(2 * t / (1 + t), size)
-        least, rest = _need(t, size), size - place - 1
+        indexed = place <= _last(2 * t / (1 + t), size)
+        least, rest = np.ceil(t * size - 1e-9).astype(np.int64), size - place - 1
         mine = [np.where(indexed, (mix(codes.astype(np.uint64) + np.uint64(0x1234567 * (r + 1))) & np.uint64(0xFFFFFFFF)).astype(np.uint32), 0) == p for r, p in enumerate(points)]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            _, at = np.unique(mix(low.astype(np.uint64)) ^ (high.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+            x, y, room, need = (np.concatenate(c) for c in zip(*out))
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            _, at, back, n = np.unique(mix(low.astype(np.uint64)) ^ (high.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True, return_counts=True)
+            most = np.full(len(at), -1, np.int32)
+            np.maximum.at(most, back, room)
             for lo in range(0, len(at), 200_000):
                 own = at[lo : lo + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(low[own]), pa.array(high[own])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (low[own], high[own], n[lo : lo + 200_000].astype(np.int32), most[lo : lo + 200_000], need[own])], ["a", "b", "n", "room", "need"])
 
         length = np.diff(edge)
         # groups of two to 64 records side by side, larger ones record by record
@@ -269,69 +345,96 @@ def _candidates(df: DataFrame, t: float) -> DataFrame:
                 same = (p[i] == p[j]) & (p[i] != np.uint32(0xFFFFFFFF)) & ~met
                 here |= same & mine[r][i]
                 met |= same
-            # elsewhere the first n-gram in common has enough behind it; at a meeting point any number may lie before it
-            enough = 1 + np.minimum(rest[i], rest[j]) >= np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9)
-            use = here | (~met & enough)
+            # the first n-gram in common has enough behind it; of those that meet that is left to the verification
+            alpha = np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9).astype(np.int64)
+            room = np.where(here, 0, np.clip(1 + np.minimum(rest[i], rest[j]) - alpha, -1, 0)).astype(np.int32)
+            need = np.where(here, 1, np.minimum(_common(np.minimum(size[i], size[j])), alpha)).astype(np.int32)
+            use = here | ~met
             if use.any():
-                out.append((key[i[use]], key[j[use]]))
+                out.append((key[i[use]], key[j[use]], room[use], need[use]))
                 held += int(use.sum())
-                if held > 4_000_000:
+                if held > 3_000_000:
                     yield from flush()
                     out, held = [], 0
         if out:
             yield from flush()
 
-    return df.mapInArrow(run, "a long, b long").distinct()
+    rows = df.mapInArrow(lean(run), "a long, b long, n int, room int, need int")
+    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("room").alias("room"), F.min("need").alias("need")).where("n >= need AND room >= 0").select("a", "b")
+
+
+def _five(codes: np.ndarray) -> bytes:
+    """A set's hashes, 40 bits of each: a pair of sets of 1000 has a false match once in a million pairs."""
+    short = (codes & np.int64(_MASK)) >> np.int64(16)
+    return short.astype(np.uint32).tobytes() + (short >> np.int64(32)).astype(np.uint8).tobytes()
+
+
+def _from_five(raw: pa.Buffer) -> np.ndarray:
+    n = raw.size // 5
+    return np.sort(np.frombuffer(raw, np.uint32, n).astype(np.int64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64) << np.int64(32))
+
 
+def _small(df: DataFrame) -> DataFrame:
+    """df marked to be broadcast if it is short enough."""
+    return F.broadcast(df) if df.limit(SENT_KEYS + 1).count() <= SENT_KEYS else df
 
-def _sets_of(df: DataFrame, keys: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(key, codes) of the records with those keys, read from the document that stands for each."""
+
+def _sets_of(df: DataFrame, needs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(part, a, b, codes): the sets of the needed (key, part), from the document that stands for each key.
+
+    Where they go is sent to the scan of documents while it is short; beyond, the sets are joined with it by shuffling.
+    """
     spark = df.sparkSession
-    wanted = keys.join(reps, "key").select("key", F.col("rep").alias("doc_id"))
+    wanted = needs.join(reps, "key").select("key", "part", F.col("rep").alias("doc_id"))
     first = wanted.limit(SENT_KEYS + 1).toArrow()
     few = first.num_rows <= SENT_KEYS
     if few:
-        sent = spark.sparkContext.broadcast((np.unique(first.column("doc_id").to_numpy()), np.unique(first.column("key").to_numpy())))
+        key, part, rep = (first.column(c).to_numpy() for c in ("key", "part", "doc_id"))
+        order = np.argsort(key, kind="stable")
+        sent = spark.sparkContext.broadcast((key[order], part[order], rep[order], np.unique(rep)))
         picked = df
     else:
         sent = None
         picked = df.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-
-    def inside(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-        return known[at] == x if len(known) else np.zeros(len(x), np.bool_)
+    names = ["part", "a", "b", "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if sent is not None:
-                b = b.filter(pa.array(inside(b.column(0).to_numpy(zero_copy_only=False), sent.value[0])))
+                known, to, rep, ids = sent.value
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                b = b.filter(pa.array(ids[np.minimum(np.searchsorted(ids, own), len(ids) - 1)] == own if len(ids) else np.zeros(len(own), np.bool_)))
             for i, j, _, codes, owner in _batch(b.column(1), n, None):
                 key, size = _keys(codes, owner, j - i)
                 edge = np.concatenate([[0], np.cumsum(size)])
-                use = size > 0
+                at = np.flatnonzero(size)
+                parts = np.zeros(len(at), np.int32)
                 if sent is not None:
-                    use &= inside(key, sent.value[1])
-                at = np.flatnonzero(use)
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array([codes[edge[x] : edge[x + 1]].tobytes() for x in at], pa.binary())], ["key", "codes"])
+                    low = np.searchsorted(known, key[at])
+                    times = np.searchsorted(known, key[at], side="right") - low
+                    entry = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    at = np.repeat(at, times)
+                    same = rep[entry] == b.column(0).slice(i, j - i).to_numpy()[at]
+                    at, parts = at[same], to[entry[same]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(key[at]), pa.nulls(len(at), pa.int64()), pa.array([_five(codes[edge[x] : edge[x + 1]]) for x in at], pa.binary())], names)
 
-    own = picked.mapInArrow(run, "key long, codes binary")
-    if not few:
-        own = own.join(keys, "key", "left_semi")
-    return own.dropDuplicates(["key"])
+    own = picked.mapInArrow(lean(run), "part int, a long, b long, codes binary")
+    return own if few else own.drop("part").join(needs.withColumnRenamed("key", "a"), "a").select(*names)
 
 
-def _verify(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, t: float, n: int, parts: int) -> DataFrame:
     """(a, b, overlap, size_a, size_b) of the pairs that reach the threshold, each verified once."""
     ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     hub = ends.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("hub"))
+    hub = _small(written(hub, "jaccard-hubs"))
     grouped = (pairs.join(hub.withColumnRenamed("key", "a").withColumnRenamed("hub", "ha"), "a")
                .join(hub.withColumnRenamed("key", "b").withColumnRenamed("hub", "hb"), "b")
                .select("a", "b", F.least("ha", "hb").alias("g")))
     split = grouped.groupBy("g").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("splits"))
-    placed = grouped.join(split, "g").select("g", F.pmod(F.hash("a"), F.col("splits")).alias("s"), "a", "b")
-    needs = placed.select("g", "s", F.explode(F.array("a", "b")).alias("key")).distinct()
-    rows = (needs.join(sets, "key").select("g", "s", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "codes")
-            .unionByName(placed.select("g", "s", "a", "b", F.lit(None).cast("binary").alias("codes"))))
+    split = _small(written(split.where("splits > 1"), "jaccard-splits"))
+    placed = written(grouped.join(split, "g", "left").withColumn("splits", F.coalesce("splits", F.lit(1))).select(F.pmod(F.xxhash64("g", F.pmod(F.hash("a"), F.col("splits"))), F.lit(parts)).cast("int").alias("part"), "a", "b"), "jaccard-placed")
+    needs = placed.select("part", F.explode(F.array("a", "b")).alias("key")).distinct()
+    rows = _sets_of(docs, needs, reps, n).unionByName(placed.select("part", "a", "b", F.lit(None).cast("binary").alias("codes")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -342,8 +445,8 @@ def _verify(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
             own = x.filter(whole)
             for k, c in zip(own.column("a").to_pylist(), own.column("codes")):
                 if k not in sets:
-                    sets[k] = np.sort(np.frombuffer(c.as_buffer(), np.int64) & np.int64((1 << 56) - 1))
-                    bins[k] = np.bincount(sets[k] >> np.int64(48), minlength=256).astype(np.int32)
+                    sets[k] = _from_five(c.as_buffer())
+                    bins[k] = np.bincount(sets[k] >> np.int64(32), minlength=256).astype(np.int32)
             rest = x.filter(pc.invert(whole))
             firsts.append(rest.column("a").to_numpy())
             seconds.append(rest.column("b").to_numpy())
@@ -373,7 +476,7 @@ def _verify(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
             cols = [np.concatenate(c).astype(np.int64) for c in zip(*found)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "overlap", "size_a", "size_b"])
 
-    return rows.repartition("g", "s").select("a", "b", "codes").mapInArrow(run, "a long, b long, overlap long, size_a long, size_b long")
+    return _moved(rows, parts).mapInArrow(lean(run), "a long, b long, overlap long, size_a long, size_b long")
 
 
 def records(df: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame]:
@@ -381,20 +484,15 @@ def records(df: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFrame,
     spark = df.sparkSession
     if not 0 < t <= 1:
         raise ValueError("the threshold lies above 0 and is 1 at most")
-    docs = no_clash(df, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = no_clash(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scanned = written(_scan(docs, n), "jaccard-scan")
     ids = scanned.where("key IS NOT NULL").select("doc_id", "key").distinct()
-    counts = np.ones(BUCKETS, np.int64)
-    for b in scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        counts[b.column(0).to_numpy()] = b.column(1).to_numpy()
-    sent = spark.sparkContext.broadcast(np.log2(counts).astype(np.float32))
+    sent = spark.sparkContext.broadcast(_rarity(scanned))
     shared = _shared(_moved(_prefixes(docs, sent, n, t, parts), parts), parts)
     pairs = written(_candidates(_moved(_pointed(_moved(shared, parts), t, parts), parts), t), "jaccard-pairs")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     reps = ids.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    sets = _sets_of(docs, keys, reps, n)
-    return ids, written(_verify(sets, pairs, t), "jaccard-verified")
+    return ids, written(_verify(docs, pairs, reps, t, n, parts), "jaccard-verified")
 
 
 def join(df: DataFrame, t: float = THRESHOLD, n: int = N) -> DataFrame:
@@ -439,8 +537,7 @@ def keep_one(df: DataFrame, t: float = THRESHOLD, n: int = N) -> DataFrame:
     first = placed.groupBy("part").agg(F.min("doc_id").alias("first"))
     gone = written(placed.join(first, "part").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("first")).alias("stays")).where("NOT stays").select("doc_id"), "jaccard-gone")
     often = written(no_clash(df, "doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-often")
-    small = lambda x: F.broadcast(x) if x.limit(SENT_KEYS + 1).count() <= SENT_KEYS else x
-    left = df.join(small(gone), "doc_id", "left_anti")
-    once = left.join(small(often), "doc_id", "left_anti")
-    more = left.join(small(often), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    left = df.join(_small(gone), "doc_id", "left_anti")
+    once = left.join(_small(often), "doc_id", "left_anti")
+    more = left.join(_small(often), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(more).select(*[F.col(f"`{c}`") for c in df.columns])

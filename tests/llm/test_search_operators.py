@@ -94,7 +94,7 @@ def test_keep_one_of_each_group(spark):
     rows = list(enumerate(corpus(9)))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
     out = jaccard.keep_one(df)
-    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == slow_keep(rows, 0.5, 3)
+    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == slow_keep(rows, jaccard.THRESHOLD, jaccard.N)
     odd = odd_rows(spark)
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns
