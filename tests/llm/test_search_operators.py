@@ -1,5 +1,6 @@
 """N-gram Jaccard join, decontamination and the pipeline, against brute force."""
 
+import os
 import random
 import re
 import tempfile
@@ -102,6 +103,16 @@ def test_keep_one_of_each_group(spark):
     assert jaccard.keep_one(odd.limit(0)).count() == 0 and jaccard.join(odd.limit(0)).count() == 0
 
 
+def test_shared_tables_are_cleared(spark):
+    from factlake.llm._common import clear_shared, written
+
+    t = written(spark.range(3).toDF("x"), "gone")
+    assert t.count() == 3
+    path = t.inputFiles()[0].removeprefix("file://")
+    clear_shared(spark)
+    assert not os.path.exists(path)
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     got = {r.key: r.least for r in jaccard.components(pairs).collect()}
