@@ -13,20 +13,20 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factlake.llm._common import lists, no_clash
+from factlake.llm._common import lean, lists, no_clash
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text before merging: contractions, letters, digits, other signs, white space.
 SPLIT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,7 +61,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Encoder(dict):
-    """Pre-token to ids, filled as pre-tokens are met."""
+    """Pre-token to its ids as packed 32-bit numbers, filled as pre-tokens are met."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import regex
@@ -73,18 +73,21 @@ class Encoder(dict):
         for s, r in ranks.items():
             self.strings[r] = s
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = merge(piece.encode(), self.ranks)
+        ids = array("i", merge(piece.encode(), self.ranks)).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    def packed(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.find(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
+        return array("i", self.packed(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -122,16 +125,16 @@ def encode_decode(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     rows.append(t)
                     size += len(t or "")
                     j += 1
-                ids = [None if t is None else enc.encode(t) for t in rows]
-                flat = np.fromiter(chain.from_iterable(x for x in ids if x), np.int32)
-                counts = np.array([len(x or ()) for x in ids], np.int64)
+                ids = [None if t is None else enc.packed(t) for t in rows]
+                flat = np.frombuffer(b"".join(x for x in ids if x), np.int32)
+                counts = np.array([len(x or b"") // 4 for x in ids], np.int64)
                 null = np.array([x is None for x in ids])
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 column = lists(pa.array(flat), counts) if not null.any() else pa.ListArray.from_arrays(
                     pa.array(offsets, mask=np.concatenate([null, [False]])), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(i, j - i), pa.array(counts, mask=null), column, pa.array([None if x is None else enc.decode(x) for x in ids], pa.string())],
+                    [keys.slice(i, j - i), pa.array(counts, mask=null), column, pa.array([None if x is None else enc.decode(array("i", x)) for x in ids], pa.string())],
                     ["doc_id", "n_tokens", "token_ids", "decoded"])
                 i = j
 
-    return no_clash(df, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, decoded string")
+    return no_clash(df, "doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, token_ids array<int>, decoded string")

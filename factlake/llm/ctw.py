@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm._common import buffers, chunks, no_clash, written
+from factlake.llm._common import buffers, chunks, lean, no_clash, written
 
 DEPTH = 3
 #: Grams of a model that is sent to every task: 12 bytes each.
@@ -98,7 +98,7 @@ def counts(df: DataFrame) -> DataFrame:
         pick = [order[edge[k] : edge[k + 1]] for k in used]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([own[p].tobytes() for p in pick], pa.binary()), pa.array([n[p].tobytes() for p in pick], pa.binary())], ["latest", "grams", "n"])
 
-    return df.mapInArrow(run, "latest int, grams binary, n binary")
+    return df.mapInArrow(lean(run), "latest int, grams binary, n binary")
 
 
 def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def _added(df: DataFrame) -> DataFrame:
             g, n = _add(own)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([g.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["latest", "grams", "n"])
 
-    return df.repartition(parts, "latest").mapInArrow(run, "latest int, grams binary, n binary")
+    return df.repartition(parts, "latest").mapInArrow(lean(run), "latest int, grams binary, n binary")
 
 
 def _level(g: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +190,7 @@ def _roots(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 nodes, n0, n1 = levels[0][:3]
                 yield pa.RecordBatch.from_arrays([pa.array((nodes & np.uint64(255)).astype(np.int32)), pa.array(n0), pa.array(n1), pa.array(weighted)], ["place", "n0", "n1", "below"])
 
-    rows = df.mapInArrow(run, "place int, n0 double, n1 double, below double").groupBy("place").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()
+    rows = df.mapInArrow(lean(run), "place int, n0 double, n1 double, below double").groupBy("place").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()
     out = np.zeros((3, 256))
     for k, c in enumerate(("n0", "n1", "below")):
         out[k][rows.column("place").to_numpy()] = rows.column(c).to_numpy()
@@ -219,7 +219,7 @@ def train(df: DataFrame) -> DataFrame:
                     p[k] = share[place] * root + (1 - share[place]) * p[k]
                 yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([(-np.log2(p).sum(axis=0)).astype(np.float64).tobytes()], pa.binary())], ["grams", "bits"])
 
-    return written(table.mapInArrow(run, "grams binary, bits binary"), "ctw-model")
+    return written(table.mapInArrow(lean(run), "grams binary, bits binary"), "ctw-model")
 
 
 class Lookup:
@@ -297,7 +297,7 @@ def score(df: DataFrame, model: DataFrame, sent_grams: int = SENT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64(), mask=null), pa.array(bits, mask=null), pa.array(bits / np.maximum(n, 1), mask=null | (n == 0))],
                                                  ["doc_id", "n_bytes", "bits", "bits_per_byte"])
 
-        return own.mapInArrow(run, "doc_id long, n_bytes long, bits double, bits_per_byte double")
+        return own.mapInArrow(lean(run), "doc_id long, n_bytes long, bits double, bits_per_byte double")
 
     # one row for each gram of a text, joined with the model's grams
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +313,7 @@ def score(df: DataFrame, model: DataFrame, sent_grams: int = SENT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g.as_buffer(), np.uint32).astype(np.int64)), pa.array(np.frombuffer(x.as_buffer(), np.float64))], ["gram", "each"])
 
     numbered = written(own.withColumn("row", F.monotonically_increasing_id()), "ctw-rows")
-    summed = (numbered.select("row", "text").mapInArrow(explode, "row long, gram long, n long").join(model.mapInArrow(unpack, "gram long, each double"), "gram", "left")
+    summed = (numbered.select("row", "text").mapInArrow(lean(explode), "row long, gram long, n long").join(model.mapInArrow(lean(unpack), "gram long, each double"), "gram", "left")
               .groupBy("row").agg(F.sum(F.col("n") * F.coalesce("each", F.lit(8.0))).alias("bits")))
     n = F.octet_length("text").cast("long")
     return numbered.join(summed, "row", "left").select("doc_id", n.alias("n_bytes"), F.when(F.col("text").isNotNull(), F.coalesce("bits", F.lit(0.0))).alias("bits"), F.when(n > 0, F.col("bits") / n).alias("bits_per_byte"))

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm._common import IS_WORD, buffers, chunks, mix, no_clash, words
+from factlake.llm._common import IS_WORD, buffers, chunks, lean, mix, no_clash, words
 
 SHARE = 0.15
 STEPS, BITS, WALKS, TABLES = 48, 16, 2, 2
@@ -212,7 +212,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys, pa.array([index.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
                                                  ["doc_id", "item_id", "edits", "end"])
 
-        one = no_clash(docs, "doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits long, end long")
+        one = no_clash(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, item_id long, edits long, end long")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -229,5 +229,5 @@ def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
                 keep[[r[0] for r in sent.value.find(b.column(at))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

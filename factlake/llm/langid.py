@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm._common import buffers, chunks, no_clash
+from factlake.llm._common import buffers, chunks, lean, no_clash, small_batches
 
 SAMPLE, LANDMARKS, PASSAGE = 250, 240, 60
 RIDGE, MARGIN = 1e-3, 0.02
@@ -156,6 +156,7 @@ def fit(df: DataFrame, sample: int = SAMPLE) -> Model:
 
 def identify(df: DataFrame, model: Model | None = None, keep: bool = False) -> DataFrame:
     """(doc_id, language, score, margin, accepted) of all rows; with ``keep``, df's accepted rows instead."""
+    small_batches(df.sparkSession)
     model = model or fit(df)
     sent = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index("text") if keep else 1
@@ -182,7 +183,7 @@ def identify(df: DataFrame, model: Model | None = None, keep: bool = False) -> D
             for b in batches:
                 yield b.filter(pa.array(judge(b.column(at))[3]))
 
-        return df.mapInArrow(run, df.schema)
+        return df.mapInArrow(lean(run), df.schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,4 +194,4 @@ def identify(df: DataFrame, model: Model | None = None, keep: bool = False) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.where(some, names[best], None), pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(np.where(some, margin, 0.0)), pa.array(ok)],
                                              ["doc_id", "language", "score", "margin", "accepted"])
 
-    return no_clash(df, "doc_id", "text").mapInArrow(rows, "doc_id long, language string, score double, margin double, accepted boolean")
+    return no_clash(df, "doc_id", "text").mapInArrow(lean(rows), "doc_id long, language string, score double, margin double, accepted boolean")

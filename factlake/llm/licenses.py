@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from factlake.llm._common import no_clash
+from factlake.llm._common import lean, no_clash
 
 COVERAGE = 0.8
 
@@ -170,4 +170,4 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, coverage: float
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))],
                                              ["doc_id", "license", "coverage", "matched_words", "first_word", "last_word"])
 
-    return no_clash(df, "doc_id", "text").mapInArrow(run, "doc_id long, license string, coverage double, matched_words long, first_word long, last_word long")
+    return no_clash(df, "doc_id", "text").mapInArrow(lean(run), "doc_id long, license string, coverage double, matched_words long, first_word long, last_word long")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from factlake.llm._common import no_clash
+from factlake.llm._common import lean, no_clash, small_batches
 
 #: Stands in where no key is given. A real run sets spark.factlake.pii.key.
 DEFAULT_KEY = "change-me"
@@ -244,6 +244,7 @@ def pseudonymise(df: DataFrame, key: str | None = None, count: str | None = "n_f
 
     One narrow pass, no shuffle. Only texts with a digit or @ reach the regular expression; no finding lacks both.
     """
+    small_batches(df.sparkSession)
     key = key or df.sparkSession.conf.get("spark.factlake.pii.key", DEFAULT_KEY)
     if count and count in df.columns:
         raise ValueError(f"the table already has a column {count}")
@@ -271,7 +272,7 @@ def pseudonymise(df: DataFrame, key: str | None = None, count: str | None = "n_f
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = T.StructType([*df.schema.fields, *([T.StructField(count, T.LongType())] if count else [])])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def query(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm._common import buffers, chunks, distinct_per_doc, mix, no_clash, words
+from factlake.llm._common import buffers, chunks, distinct_per_doc, lean, mix, no_clash, words
 
 SAMPLE, MIN_DOCS = 6000, 4
 COST, ROUNDS, BLEND, SMOOTH, LENGTH = 1.0, 30, 1.0, 1.0, 1.0
@@ -196,4 +196,4 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
             keep = (n > 0) & (out[:, 0] >= 0) & (out[:, 1] < 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(keep)], ["doc_id", "quality_score", "toxic_score", "keep"])
 
-    return no_clash(docs, "doc_id", "text").mapInArrow(run, "doc_id long, quality_score double, toxic_score double, keep boolean")
+    return no_clash(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, quality_score double, toxic_score double, keep boolean")
