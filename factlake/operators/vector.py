@@ -22,8 +22,8 @@ def cosine(a: Column, b: Column) -> Column:
 def knn(vectors: DataFrame, queries: DataFrame, k: int, theta: float = 0.0) -> DataFrame:
     """(qid, id, score, rank): each query's nearest vectors, exactly. Needs (id, vec) and (qid, qvec).
 
-    Both sides go into blocks, and each pair of blocks meets in one task, so neither side has to fit a task; a block
-    pair keeps its best k of each query before anything is ranked over all.
+    Every vector is compared with every query: Spark sends a side that it knows to be small to all tasks and pairs
+    partitions else. The limit by rank is pushed below the exchange, so only each partition's best k of a query move.
     """
     both = vectors.join(queries, F.lit(True), "cross")
     scored = both.select("qid", "id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine(F.col("vec"), F.col("qvec")))), 6).alias("score")).where(F.col("score") >= theta)
