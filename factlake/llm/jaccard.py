@@ -7,7 +7,8 @@ pair. The result is exact: every filter only drops pairs that can't reach the th
    hash of its n-gram set), so exact copies become one record. An n-gram's code is its rarity class (no n-gram is more
    frequent than its bucket or its rarest word) above 56 bits of its hash: ascending codes are rare-first, the same in
    every task.
-2. Each record's prefix n-grams go to the task of their code. An n-gram that no other record has in its prefix drops.
+2. Each record's prefix n-grams go to the task of their code. An n-gram in which a record can't
+   pair with another of near size drops.
 3. The rest go back to their records, which so learn which of their prefix n-grams are shared, and pick a few of these
    by hashing as meeting points. They then meet by code. Records with the same meeting point give their pair there and
    nowhere else; other pairs come from each n-gram they share and are made distinct after. Length and positional
@@ -249,12 +250,31 @@ def _grouped(codes: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.n
     return order[keep], np.concatenate([[0], np.cumsum(length)])
 
 
-def _shared(df: DataFrame, parts: int) -> DataFrame:
-    """Of the blocks by code, the n-grams of two records or more; blocks by key."""
+def _partnered(size: np.ndarray, place: np.ndarray, edge: np.ndarray, t: float) -> np.ndarray:
+    """Which rows of the groups, sizes ascending in each, can pair with another there.
+
+    The smaller record's n-gram must lie in its index prefix and its size reach t of the larger's. Of smaller records
+    the best partner is the last indexed one before, of larger ones the next.
+    """
+    at = np.arange(len(size))
+    start = np.repeat(edge[:-1], np.diff(edge))
+    end = np.repeat(edge[1:], np.diff(edge))
+    indexed = place <= _last(2 * t / (1 + t), size)
+    least = np.ceil(t * size - 1e-9).astype(np.int64)
+    last = np.concatenate([[-1], np.maximum.accumulate(np.where(indexed, at, -1))[:-1]]) if len(at) else at
+    below = (last >= start) & (size[np.maximum(last, 0)] >= least)
+    after = np.minimum(at + 1, max(0, len(at) - 1))
+    above = indexed & (at + 1 < end) & (size >= least[after])
+    return below | above
+
+
+def _shared(df: DataFrame, t: float, parts: int) -> DataFrame:
+    """Of the blocks by code, the n-grams in which records can pair; blocks by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, place, key, size = _unpack(batches)
-        order, _ = _grouped(codes, size, key)
+        order, edge = _grouped(codes, size, key)
+        order = order[_partnered(size[order], place[order], edge, t)]
         if len(order):
             yield _pack(key[order] % parts, parts, codes[order], place[order], key[order], size[order])
 
@@ -489,7 +509,7 @@ def records(df: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFrame,
     scanned = written(_scan(docs, n), "jaccard-scan")
     ids = scanned.where("key IS NOT NULL").select("doc_id", "key").distinct()
     sent = spark.sparkContext.broadcast(_rarity(scanned))
-    shared = _shared(_moved(_prefixes(docs, sent, n, t, parts), parts), parts)
+    shared = _shared(_moved(_prefixes(docs, sent, n, t, parts), parts), t, parts)
     pairs = written(_candidates(_moved(_pointed(_moved(shared, parts), t, parts), parts), t), "jaccard-pairs")
     reps = ids.groupBy("key").agg(F.min("doc_id").alias("rep"))
     return ids, written(_verify(docs, pairs, reps, t, n, parts), "jaccard-verified")
