@@ -25,9 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm._common import buffers, chunks, distinct_per_doc, lists, ngrams, no_clash, words
+from factlake.llm._common import buffers, chunks, distinct_per_doc, lean, lists, ngrams, no_clash, words, written
 
 K, SHINGLE = 128, 5
+#: Sources whose sketches are sent to every task (1 KB each); beyond, Spark joins by shuffling.
+SENT_SOURCES = 20_000
 _SPACE = float(2**63)
 
 
@@ -55,7 +57,7 @@ def sketches(df: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
             flat, counts = sketch_batch(b.column(2), k, n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(pa.array(flat), counts)], ["doc_id", "source", "sketch"])
 
-    return no_clash(df, "doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, sketch array<long>")
+    return no_clash(df, "doc_id", "source", "text").mapInArrow(lean(run), "doc_id long, source string, sketch array<long>")
 
 
 def merge(sketches_df: DataFrame, by: str, k: int = K) -> DataFrame:
@@ -74,7 +76,7 @@ def merge(sketches_df: DataFrame, by: str, k: int = K) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array([v.tolist() for v in best.values()], pa.list_(pa.int64()))], [by, "merged"])
 
     schema = f"{by} string, merged array<long>"
-    parts = no_clash(sketches_df, by, "sketch").withColumn(by, F.col(by).cast("string")).mapInArrow(fold, schema)
+    parts = no_clash(sketches_df, by, "sketch").withColumn(by, F.col(by).cast("string")).mapInArrow(lean(fold), schema)
     return parts.groupBy(by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("merged")))), 1, k).alias("merged"))
 
 
@@ -103,11 +105,13 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 def query(df: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
     """(doc_id, source, sketch, n_distinct, source_distinct, resemblance, containment) of all documents.
 
-    Documents are never shuffled: each source has one merged sketch of 8k bytes. These go to every task only while all of
-    them together are under the session's broadcast threshold at run time; Spark joins by shuffling else.
+    Documents are never shuffled: each source has one merged sketch of 8k bytes. These are a table in the shared folder
+    and go to every task while they are few; Spark joins by shuffling else.
     """
     own = sketches(df, k, n)
-    whole = merge(sketches(df, k, n), "source", k).withColumnRenamed("source", "of")
+    whole = written(merge(sketches(df, k, n), "source", k).withColumnRenamed("source", "of"), "fingerprint-sources")
+    if whole.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES:
+        whole = F.broadcast(whole)
     both = own.join(whole, F.col("source").eqNullSafe(F.col("of")), "left")
     a, b = F.col("sketch"), F.col("merged")
     return both.select("doc_id", "source", "sketch", distinct_count(a, k).alias("n_distinct"), distinct_count(b, k).alias("source_distinct"),
