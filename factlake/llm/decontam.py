@@ -1,24 +1,25 @@
 """Benchmark decontamination: documents that hold a passage within an edit distance of a benchmark item.
 
-Texts are brought to lower-case words with single spaces. A window of an item's size starts at a word; half of all words,
-chosen by hash, may start windows, in items and documents alike, so a passage meets its item at each chosen word they
-share in place. The CGK embedding walks along the window: at each step it emits the character that it is at and moves on
-or stays by a random bit for (step, character), so windows a few edits apart soon walk together again and edit distance
-becomes Hamming distance. ``BITS`` positions of the first ``STEPS`` are sampled ``TABLES`` times for each of ``WALKS``
-walks; windows that agree on all sampled positions are candidates. Each is verified once for each document, item and
-offset by the exact edit distance between the whole item and the best-fitting passage there (bit-parallel), unless more
-of the item's 5-grams are missing there than that many edits can destroy.
+Texts are brought to lower-case words with single spaces. Candidates come from a complete filter: an item of m characters
+that may have k edits is cut into disjoint pieces of ``q`` characters, ``PIECE`` or as many as leave more than k pieces.
+An edit destroys one piece at most, so a passage within the bound still holds ``m // q - k`` of them or more, unchanged,
+and shifts them by k at most. All places of a document are looked up among the pieces; pieces found are counted for each
+item over bands of k + 1 shifts, and two bands side by side that together reach that number are a candidate if
+all but 5 k of the item's 5-grams are there within these shifts as well: an edit destroys five at most. Its text is
+verified once for each document and item by the exact edit distance between the whole item and the best-fitting passage
+there (bit-parallel).
 
 A document is contaminated by an item if a passage of it is within ``floor(SHARE * length)`` edits of the item, length
-and edits in characters of the normal form. The search is approximate only in its candidates: a passage is missed if
-none of its chosen words has its next ``STEPS`` steps' sampled positions unedited in any table. Recall on passages with
-edits up to the bound is measured in the tests.
+and edits in bytes of the normal form, so an edit of a non-ASCII character may count as two or more. No passage within
+the bound is missed, wherever its edits lie and however short the item is. Edits are the least over the document, and
+the end is that of the first such passage.
 
-Items are sent to every task in slices of at most ``SLICE`` bytes of text, one pass over the documents for each slice.
+Items are sent to every task in slices of at most ``SLICE`` bytes of text, one pass over the documents for each slice, and
+looked up in groups of ``GROUP``. Items of fewer than seven characters allow no edit.
 
-Defined results: null or wordless documents and items match nothing. Items shorter than ``SHORTEST`` characters are
-compared like others, and items with equal text each give their row. Repeated rows of documents give repeated rows;
-null doc_ids are kept as null. Texts are searched whole. Empty tables give empty results. Other columns are ignored.
+Defined results: null or wordless documents and items match nothing. Items of any length are compared, and items
+with equal text each give their row. Repeated rows of documents give repeated rows; null doc_ids are kept as null. Texts
+are searched whole. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm._common import IS_WORD, buffers, chunks, lean, mix, no_clash, words
+from factlake.llm._common import IS_WORD, buffers, chunks, lean, no_clash
 
 SHARE = 0.15
-STEPS, BITS, WALKS, TABLES = 48, 16, 2, 2
-#: One word in so many may start a window.
-EVERY = 2
+#: Longest piece; bits of its hash; least width of a band of shifts; items looked up at once.
+PIECE, SLOTS, BAND, GROUP = 5, 20, 8, 500
+#: Above so many counters for a chunk, pieces found are sorted instead.
+DENSE = 10_000_000
 SLICE = 16_000_000
 
 
@@ -54,44 +56,87 @@ def normal(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, total[offs]
 
 
-class Walks:
-    """The random bits and the sampled positions, the same in every task."""
-
-    def __init__(self, seed: int = 5):
-        rng = np.random.default_rng(seed)
-        self.move = rng.integers(0, 2, (WALKS, STEPS, 256)).astype(np.int64)
-        self.sampled = [[frozenset(rng.choice(STEPS, BITS, replace=False).tolist()) for _ in range(TABLES)] for _ in range(WALKS)]
-        mult = rng.integers(1, 2**63, (STEPS, TABLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        #: What a character at a sampled step adds to a table's key.
-        self.adds = np.arange(1, 257, dtype=np.uint64)[None, None, :] * mult[:, :, None]
-
-    def keys(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        """For each table the key of each window; beyond a text's end a window has zero bytes."""
-        out = [np.empty(len(start), np.uint64) for _ in range(WALKS * TABLES)]
-        near = start + STEPS > end
-        padded = np.concatenate([text, [np.uint8(0)]])
-        for rows, limit in ((np.flatnonzero(~near), None), (np.flatnonzero(near), end[near])):
-            if not len(rows):
+def slots(text: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q bytes at each place that has as many."""
+    n = len(text) - q + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    code = text[:n].astype(np.uint64)
+    for k in range(1, q):
+        code <<= np.uint64(8)
+        code |= text[k : k + n]
+    code *= np.uint64(0x9E3779B97F4A7C15)
+    code >>= np.uint64(64 - SLOTS)
+    return code.view(np.int64)
+
+
+class Pieces:
+    """The disjoint pieces of a group of items that are cut to the same length, by hash."""
+
+    def __init__(self, items: list[tuple[int, bytes]], q: int):
+        self.q, self.numbers = q, [x for x, _ in items]
+        size = np.array([len(t) for _, t in items])
+        most = (SHARE * size).astype(np.int64)
+        self.least = size // q - most
+        self.width = np.maximum(BAND, most + 1)
+        self.grams = [slots(np.frombuffer(t, np.uint8), q).astype(np.int16) for _, t in items]
+        self.kept = size - q + 1 - q * most  # of these, as many at least are unchanged
+        self.ahead = int(size.max())  # a shift may be so far below zero
+        where = [np.arange(0, m - q + 1, q) for m in size.tolist()]
+        slot = np.concatenate([slots(np.frombuffer(t, np.uint8), q)[w] for (_, t), w in zip(items, where)])
+        order = np.argsort(slot, kind="stable")
+        self.item = np.repeat(np.arange(len(items)), [len(w) for w in where])[order]
+        self.back = self.ahead - np.concatenate(where)[order]
+        self.count = np.bincount(slot, minlength=1 << SLOTS).astype(np.int32)
+        self.first = (np.cumsum(self.count) - self.count).astype(np.int32)
+
+    def candidates(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, least and greatest place where a passage may start), each item's in order and apart."""
+        slot = slots(text, self.q)
+        n = self.count[slot]
+        place = np.flatnonzero(n)
+        if not len(place):
+            return
+        n, low = n[place], self.first[slot[place]]
+        entry = np.repeat(low - np.cumsum(n, dtype=np.int64) + n, n)
+        entry += np.arange(len(entry))
+        item = self.item[entry]
+        bands = (len(text) + self.ahead) // self.width + 2  # the last stays empty
+        base = np.cumsum(bands) - bands
+        shift = np.repeat(place, n) + self.back[entry]
+        key = base[item] + ((shift + 0.5) * (1 / self.width)[item]).astype(np.int64)
+        if int(bands.sum()) <= DENSE:
+            found = np.bincount(key, minlength=int(bands.sum()))
+            own = found[:-1] + found[1:]
+            own[base[1:] - 1] = 0
+            band = np.flatnonzero(own >= self.least.min())
+            own = own[band]
+        else:
+            some, count = np.unique(key, return_counts=True)
+            band = np.union1d(some, some - 1)  # each with the next
+            sums = np.concatenate([[0], np.cumsum(count)])
+            own = sums[np.searchsorted(some, band + 2)] - sums[np.searchsorted(some, band)]
+        x = np.maximum(0, np.searchsorted(base, band, side="right") - 1)
+        hit = np.flatnonzero(own >= self.least[x])
+        around = np.full(len(slot) + 4 * self.ahead + 4 * BAND, -1, np.int16)
+        around[self.ahead : self.ahead + len(slot)] = slot.astype(np.int16)
+        last = (-1, 0, 0)
+        for i, b in zip(x[hit].tolist(), (band - base[x])[hit].tolist()):
+            width, grams = int(self.width[i]), self.grams[i]
+            lo = max(b, 0) * width
+            if self.kept[i] > 1:
+                there = np.ndarray((2 * width, len(grams)), np.int16, around, 2 * lo, (2, 2))
+                if np.count_nonzero((there == grams).any(axis=0)) < self.kept[i]:
+                    continue
+            lo -= self.ahead
+            if last[0] == i and lo <= last[2]:
+                last = (i, last[1], lo + 2 * width)
                 continue
-            for w in range(WALKS):
-                at = start[rows]
-                hashes = [np.full(len(rows), np.uint64(w * TABLES + k + 1)) for k in range(TABLES)]
-                for s in range(max(max(x) for x in self.sampled[w]) + 1):
-                    c = padded[at] if limit is None else padded[np.where(at < limit, at, len(text))]
-                    for k in range(TABLES):
-                        if s in self.sampled[w][k]:
-                            hashes[k] += self.adds[s, k][c]
-                    at += self.move[w, s][c]
-                for k in range(TABLES):
-                    out[w * TABLES + k][rows] = mix(hashes[k])
-        return out
-
-
-def starts(text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen words' places in the normal form and their texts."""
-    h, doc, first, _ = words(text, offs)
-    use = (h >> np.uint64(20)) % np.uint64(EVERY) == 0
-    return first[use], doc[use]
+            if last[0] >= 0:
+                yield self.numbers[last[0]], last[1], last[2]
+            last = (i, lo, lo + 2 * width)
+        if last[0] >= 0:
+            yield self.numbers[last[0]], last[1], last[2]
 
 
 def distance(item: bytes, passage: bytes) -> tuple[int, int]:
@@ -128,21 +173,19 @@ def pieces(text: bytes) -> frozenset[bytes]:
 
 
 class Index:
-    """The items' normal forms and the sorted keys of their windows."""
+    """The items' normal forms and their pieces."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        self.walks = Walks()
         self.ids = ids
         data, offs = buffers(pc.utf8_lower(pa.array(texts, pa.string())))
         text, offs = normal(data, offs)
         self.items = [text[offs[i] : offs[i + 1]].tobytes().strip() for i in range(len(ids))]
         self.pieces = [pieces(x) for x in self.items]
-        lead = np.array([int(offs[i + 1] > offs[i] and text[offs[i]] == 32) for i in range(len(ids))], np.int64)
-        at, item = starts(text, offs)
-        self.tables = []
-        for keys in self.walks.keys(text, at, offs[1:][item]) if len(at) else []:
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], item[order], (at - offs[item] - lead[item])[order]))
+        by: dict[int, list[tuple[int, bytes]]] = {}
+        for x, t in enumerate(self.items):
+            if t:
+                by.setdefault(min(PIECE, len(t) // (int(SHARE * len(t)) + 1)), []).append((x, t))
+        self.groups = [Pieces(own[k : k + GROUP], q) for q, own in sorted(by.items()) for k in range(0, len(own), GROUP)]
 
     def find(self, col: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, end in the normal form) of each contaminated row and item of a batch."""
@@ -150,38 +193,22 @@ class Index:
         out: list[tuple[int, int, int, int]] = []
         for i, j in chunks(offs, 1_000_000):
             text, own = normal(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            at, doc = starts(text, own)
-            if not len(at) or not self.tables:
-                continue
-            found = []
-            for keys, (known, item, offset) in zip(self.walks.keys(text, at, own[1:][doc]), self.tables):
-                low = np.searchsorted(known, keys, side="left")
-                hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys)
-                if not len(hit):
-                    continue
-                n = np.searchsorted(known, keys[hit], side="right") - low[hit]
-                rows = np.repeat(hit, n)
-                entry = np.repeat(low[hit], n) + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-                found.append(np.stack([doc[rows], item[entry], at[rows] - offset[entry]], axis=1))
-            if not found:
-                continue
             seen: dict[tuple[int, int], tuple[int, int]] = {}
-            done: dict[tuple[int, int], list[int]] = {}
-            for d, x, begin in np.unique(np.concatenate(found), axis=0).tolist():
+            for x, low, high in (c for g in self.groups for c in g.candidates(text)):
                 item = self.items[x]
                 most = int(SHARE * len(item))
-                tried = done.setdefault((d, x), [])
-                if seen.get((d, x), (1, 0))[0] == 0 or any(abs(begin - t) <= most // 2 for t in tried):
-                    continue  # the passage searched there covers this one
-                tried.append(begin)
-                lo, hi = max(int(own[d]), begin - 2 * most - 2), min(int(own[d + 1]), begin + len(item) + 2 * most + 2)
-                passage = text[lo:hi].tobytes()
-                if len(self.pieces[x] - pieces(passage)) > 5 * most:
-                    continue
-                edits, end = distance(item, passage)
-                if edits <= most and ((d, x) not in seen or edits < seen[d, x][0]):
-                    seen[d, x] = (edits, lo + end - int(own[d]))
-            out += [(i + d, x, e, p) for (d, x), (e, p) in seen.items()]
+                low, high = max(0, low - most), min(len(text), high + len(item) + most)
+                d = max(0, int(np.searchsorted(own, low, side="right")) - 1)
+                while d < len(own) - 1 and own[d] < high:
+                    lo, hi = max(int(own[d]), low), min(int(own[d + 1]), high)
+                    if hi - lo >= len(item) - most and seen.get((d, x), (1, 0))[0] > 0:
+                        passage = text[lo:hi].tobytes()
+                        if len(self.pieces[x] - pieces(passage)) <= 5 * most:
+                            edits, end = distance(item, passage)
+                            if edits <= most and ((d, x) not in seen or edits < seen[d, x][0]):
+                                seen[d, x] = (edits, lo + end - int(own[d]))
+                    d += 1
+            out += [(i + d, x, e, p) for (d, x), (e, p) in sorted(seen.items())]
         return out
 
 
@@ -199,7 +226,7 @@ def _index(part: DataFrame) -> Index:
 
 
 def search(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits, end) of each contaminated document and item; end is in characters (bytes) of the normal form."""
+    """(doc_id, item_id, edits, end) of each contaminated document and item; end is in bytes of the normal form."""
     out = None
     for part in _slices(items):
         sent = docs.sparkSession.sparkContext.broadcast(_index(part))

@@ -174,6 +174,48 @@ def test_recall_up_to_the_bound_and_no_false_finding(spark, sf):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def spread(t, share, kind, rng):
+    """floor(share * length) edits of one kind, evenly over the normal form."""
+    s, n = list(normal(t)), int(share * len(normal(t)))
+    for p in sorted((int((k + 0.5) * len(s) / n) for k in range(n)), reverse=True):
+        if kind == "pop":
+            s.pop(p)
+        elif kind == "insert":
+            s.insert(p, rng.choice("0123456789"))
+        else:
+            s[p] = rng.choice("0123456789")
+    return "".join(s)
+
+
+def test_every_passage_at_the_bound_is_found(spark, monkeypatch):
+    """Edits of each kind spread evenly at the full bound, random ones, and copies of items of one to eight words."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").limit(60).collect()]
+    rng = random.Random(8)
+    short = [" ".join(normal(t).split()[: 1 + k % 8]) for k, t in enumerate(texts[:24])]
+    docs = [(k, f"zz {spread(t, decontam.SHARE, kind, rng)} zz") for k, t in enumerate(texts) for kind in ("pop", "insert", "swap")]
+    docs += [(k, f"zz {corrupt(t, decontam.SHARE, rng)} zz") for k, t in enumerate(texts)]
+    docs += [(k + len(texts), f"zz {t} zz") for k, t in enumerate(short)]
+    docs += [(k + len(texts), f"zz {spread(t, decontam.SHARE, kind, rng)} zz") for k, t in enumerate(short) for kind in ("pop", "insert", "swap")]
+    items = [normal(t).encode() for t in texts + short]
+    # a lost one-letter word takes a space with it, and an edit of a non-ASCII letter counts twice: such are past the bound
+    docs = [(x, t) for x, t in docs if decontam.distance(items[x], normal(t).encode())[0] <= int(decontam.SHARE * len(items[x]))]
+    assert len(docs) > 250
+    for dense in (decontam.DENSE, 0):
+        monkeypatch.setattr(decontam, "DENSE", dense)
+        index = decontam.Index(list(range(len(texts + short))), texts + short)
+        found = {(d, x) for d, x, _, _ in index.find(pa.array([t for _, t in docs]))}
+        assert not [(d, x) for d, (x, _) in enumerate(docs) if (d, x) not in found]
+
+
+def test_search_equals_brute_force():
+    rng = random.Random(9)
+    items = ["".join(rng.choice("ab ") for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    docs = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 200))) for _ in range(40)] + ["a", "", "b" * 90]
+    got = {(d, x): e for d, x, e, _ in decontam.Index(list(range(len(items))), items).find(pa.array(docs))}
+    want = {(d, x): e for d, t in enumerate(docs) for x, i in enumerate(items) if normal(i) and (e := slow_distance(normal(i), normal(t))) <= int(decontam.SHARE * len(normal(i)))}
+    assert got == want
+
+
 def test_decontamination_rows(spark, monkeypatch):
     passage = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix potions in the tower"
     items = spark.createDataFrame([(1, passage), (2, passage), (3, None), (4, ""), (None, "another item that nobody has ever quoted anywhere at all")], "item_id long, text string")
