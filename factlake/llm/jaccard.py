@@ -22,7 +22,7 @@ Records between tasks are blocks of packed arrays, one row for each target task,
 
 Defined results: documents with null doc_id, or with null text or text without a word, are in no pair. A text of fewer
 than n words has one n-gram: all its words. Exact copies (equal sets) are linked to the least doc_id of theirs with
-jaccard 1, and that one alone is compared with other sets: a pair of copies of two similar sets follows from these rows.
+jaccard 1, and that one alone is compared with other sets; ``all_pairs`` gives every pair of documents instead.
 A doc_id is never paired with itself, and repeated rows change nothing. Ties: doc_id is less than other_id in each row.
 Texts are compared whole, at any length. Other columns are ignored; an empty table gives an empty one.
 """
@@ -527,6 +527,21 @@ def join(df: DataFrame, t: float = THRESHOLD, n: int = N) -> DataFrame:
     return copies.unionByName(near)
 
 
+def all_pairs(df: DataFrame, t: float = THRESHOLD, n: int = N) -> DataFrame:
+    """(doc_id, other_id, jaccard) of all pairs of documents, each copy with each copy and with all near duplicates.
+
+    The verified pairs of sets are joined with the ids of either set. A doc_id with several texts is compared by each of
+    its sets, so a pair may have several rows. A group of m copies gives m (m - 1) / 2 rows, however large m is.
+    """
+    ids, pairs = records(df, t, n)
+    one, other = ids.withColumnRenamed("doc_id", "x"), ids.withColumnRenamed("doc_id", "y")
+    copies = one.join(other, "key").where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
+    near = (pairs.select("a", "b", F.round(F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")), 6).alias("jaccard"))
+            .join(one.withColumnRenamed("key", "a"), "a").join(other.withColumnRenamed("key", "b"), "b").where("x <> y")
+            .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "jaccard"))
+    return copies.unionByName(near).toDF("doc_id", "other_id", "jaccard")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(key, least): the least key of each connected part of (a, b), by label propagation with pointer jumping.
 

@@ -67,6 +67,17 @@ def test_join_equals_brute_force(spark, seed, t, n):
     assert got == slow_join(rows, t, n)
 
 
+@pytest.mark.parametrize("seed,t,n", [(1, 0.5, 3), (2, 0.6, 2)])
+def test_all_pairs_of_documents(spark, seed, t, n):
+    """Copies with each other and with near duplicates; a doc_id with two texts, repeated rows."""
+    rows = [(i if i % 17 else i + 1, x) for i, x in enumerate(corpus(seed))]
+    rows += [*rows[:3], (None, "a b c d"), (500, None), (501, "")]
+    sets = sorted({(i, grams(x, n)) for i, x in rows if i is not None and x is not None and grams(x, n)}, key=lambda r: r[0])
+    want = [(i, j, round(len(x & y) / len(x | y), 6)) for k, (i, x) in enumerate(sets) for j, y in sets[k + 1 :] if i != j and len(x & y) >= t * len(x | y) - 1e-9]
+    got = [tuple(r) for r in jaccard.all_pairs(spark.createDataFrame(rows, "doc_id long, text string"), t, n).collect()]
+    assert sorted(got) == sorted(want) and len(want) > len(slow_join(rows, t, n))
+
+
 def test_join_through_shuffled_sets(spark, monkeypatch):
     """The same pairs when lists are too long to be sent, groups are split and records meet at points."""
     rows = list(enumerate(corpus(7)))
