@@ -2,7 +2,8 @@
 
 Found and replaced: card numbers (Luhn), IBANs (mod 97), US social security numbers (valid ranges), phone numbers, IPv4
 addresses (octets up to 255), e-mail addresses, hexadecimal secrets of 32 digits or more, and calendar dates (ISO,
-d/m/y, d.m.y). A number that fails its validation stays as it is: it is not personal data of that kind.
+d/m/y, d.m.y). A number that fails its validation stays as it is: it is not personal data of that kind, and the
+search goes on within it. An IBAN ends where its country's length or its check digits say.
 
 A value is read as an index within its format's domain of N values and permuted by ``E^-1(E(i) + 1 mod N)``, where E is
 an 8-round balanced Feistel network with keyed BLAKE2b rounds and cycle walking. That is a bijection without fixed
@@ -43,6 +44,10 @@ FOUND = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<date>(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?P<sep>[/.])\d{1,2}(?P=sep)\d{4})(?![\d/-]))"
 )
+#: Lengths of IBANs by country; for others all ends are tried.
+_IBAN_SIZES = {c: int(n) for n, own in (x.split(":") for x in (
+    "15:NO|16:BE|18:DK FI FO GL NL SD|19:MK SI|20:AT BA EE KZ LT LU XK|21:CH HR LI LV|22:BG BH CR DE GB GE IE ME RS VA|23:AE GI IL IQ OM SO TL"
+    "|24:AD CZ ES MD PK RO SA SE SK TN VG|25:LY PT ST|26:IS TR|27:BI DJ FR GR IT MC MR SM|28:AL AZ BY CY DO GT HU LB NI PL SV|29:BR EG PS QA UA|30:JO KW MU YE|31:MT SC|32:LC|33:RU").split("|")) for c in own.split()}
 _DAY0, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
@@ -145,6 +150,15 @@ def _iban(s: str, step) -> str | None:
     return _refill(s, flat[:2] + f"{check:02d}" + body, _ALNUM)
 
 
+def _iban_ends(s: str) -> list[int]:
+    """Where an IBAN that starts s may end: the pattern takes words that follow it as well."""
+    ends = [len(s), *(k for k in range(len(s) - 1, 0, -1) if s[k] == " ")]
+    size = _IBAN_SIZES.get(s[:2])
+    if size:
+        ends = [k for k in ends if len(s[:k].replace(" ", "")) == size] + [len(s)]
+    return ends
+
+
 def _ip(s: str, step) -> str | None:
     octets = [int(o) for o in s.split(".")]
     if max(octets) > 255:
@@ -216,24 +230,32 @@ class Pseudonymiser:
 
     def __init__(self, key: str):
         self.step = Permuter(key).forward
-        self.known: dict[tuple[str, str], str | None] = {}
+        self.known: dict[tuple[str, str], tuple[str | None, int]] = {}
 
-    def __call__(self, text: str) -> tuple[str, int]:
-        found = 0
+    def _replaced(self, kind: str, s: str) -> tuple[str | None, int]:
+        """What stands for a finding and how much of s that is."""
+        for end in _iban_ends(s) if kind == "iban" else (len(s),):
+            new = _KINDS[kind](s[:end], self.step)
+            if new is not None:
+                return new, end
+        return None, 0
 
-        def replace(m: re.Match) -> str:
-            nonlocal found
-            kind = m.lastgroup
-            own = (kind, m[0])
+    def __call__(self, text: str) -> tuple[str, int]:
+        found, done, at, out = 0, 0, 0, []
+        while m := FOUND.search(text, at):
+            own = (m.lastgroup, m[0])
             if own not in self.known:
                 if len(self.known) > 200_000:
                     self.known.clear()
-                self.known[own] = _KINDS[kind](m[0], self.step)
-            new = self.known[own]
-            found += new is not None
-            return m[0] if new is None else new
-
-        return FOUND.sub(replace, text), found
+                self.known[own] = self._replaced(*own)
+            new, size = self.known[own]
+            if new is None:  # what else it took may hold other data
+                at = m.start() + 1
+                continue
+            found += 1
+            out += (text[done : m.start()], new)
+            done = at = m.start() + size
+        return "".join([*out, text[done:]]), found
 
 
 _own: dict[str, Pseudonymiser] = {}

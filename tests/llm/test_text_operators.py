@@ -92,6 +92,16 @@ def test_pii_formats_and_links():
     assert len(key) == 42 and key != '"2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"'
 
 
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"])
+@pytest.mark.parametrize("after", ["", " BIC", " BIC: X", " BBRUBEBB", " 2024 and", " GB82 WEST 1234 5698 7654 32", " 4929348385146306"])
+def test_iban_before_other_tokens(iban, after):
+    new, n = pii.Pseudonymiser("key")(f"pay {iban}{after}")
+    own = new[4 : 4 + len(iban)].replace(" ", "")
+    assert iban not in new and pii._iban_mod(own) == 1 and n == (2 if len(after) > 16 else 1)
+    assert len(new) == len(f"pay {iban}{after}") and (n == 2 or new.endswith(after))
+    assert pii.Pseudonymiser("key")("ID12 3456 7890 4929348385146306")[1] == 1  # no IBAN, but a card in what it took
+
+
 def test_pii_rows(spark):
     df = odd_rows(spark)
     out = pii.pseudonymise(df, key="k")
