@@ -180,6 +180,23 @@ def test_render(page, text):
     assert html.render(page) == text
 
 
+@pytest.mark.parametrize(
+    "row,text",
+    [
+        ("<form><td>x</td><td>y</td></form>", "x | y"),
+        ("<b>Total</b>", "Total"),
+        ("<td>a</td><font><a>b</a> <i>c</i></font><td>d", "a | b c | d"),
+        ("<form>Name <b>q</b><td>x<div><td>y</div></form><td>z", "Name q | x | y | z"),
+        ("<div><table><tr><td>in</table></div><td>x", "in | x"),
+        ("<form> <input type=hidden></form><td>x<td>y", "x | y"),
+        ("<div hidden>n</div><td>x", "x"),
+        ("<b>" * 3000 + "<td>x", "x"),
+    ],
+)
+def test_elements_between_row_and_cell(row, text):
+    assert html.render(f"<table><tr>{row}</tr></table>") == text
+
+
 def test_html_deep_and_rows(spark):
     assert html.render("<div>" * 5000 + "x") == "x"
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x"), (2, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
