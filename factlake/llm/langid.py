@@ -144,7 +144,7 @@ def fit(df: DataFrame, sample: int = SAMPLE) -> Model:
     own = no_clash(df, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     mark = F.xxhash64("doc_id", F.lit("language sample"))
     chosen: list = []
-    for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect():
+    for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect():
         # a hash below this bound leaves about three times the sample at most
         bound = int(-(2**63) + 2**64 * min(1.0, 3 * sample / r["n"] + 1e-12))
         rows = own.where(F.col("lang") == r["lang"])

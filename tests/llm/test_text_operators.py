@@ -245,6 +245,12 @@ def test_language_rows(spark):
     assert langid.identify(df.withColumn("lang", F.lit(None).cast("string")), keep=True).count() == 0
 
 
+def test_all_labelled_languages_are_learnt(spark):
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(202)], "doc_id long, text string, lang string").coalesce(1).cache()
+    assert langid.fit(df).languages == sorted(f"l{i}" for i in range(202))
+    df.unpersist()
+
+
 def test_language_keeps_clean_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert langid.identify(df, keep=True).count() >= 0.995 * df.count()
