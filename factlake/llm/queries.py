@@ -56,30 +56,11 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate pairs of distinct texts, each by its least doc_id, and each exact copy with that one."""
-    return jaccard.join(read(spark, sf_dir, "documents"))
-
-
-def op10_jaccard_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All near-duplicate pairs of documents."""
+    """All near-duplicate pairs of documents, exact copies included."""
     return jaccard.all_pairs(read(spark, sf_dir, "documents"))
 
 
 JACCARD_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w
-           FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 1 THEN w
-             ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM w WHERE len(w) > 0),
-c AS (SELECT s, min(doc_id) AS rep FROM g GROUP BY s),
-e AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM c),
-o AS (SELECT a.rep AS p, b.rep AS q, a.n AS an, b.n AS bn, count(*) AS hit
-      FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
-SELECT c.rep AS doc_id, g.doc_id AS other_id, 1.0::DOUBLE AS jaccard FROM g JOIN c USING (s) WHERE g.doc_id <> c.rep
-UNION ALL
-SELECT p, q, round(hit / (an + bn - hit)::DOUBLE, 6) FROM o WHERE hit >= 0.6 * (an + bn - hit) - 1e-9
-"""
-
-ALL_PAIRS_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w
            FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 1 THEN w
@@ -93,8 +74,8 @@ SELECT doc_id, other_id, round(hit / (an + bn - hit)::DOUBLE, 6) AS jaccard FROM
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_langid, op3_pii, op4_licenses, op5_ctw, op6_fingerprints, op7_bpe, op8_quality, op9_html, op10_jaccard, op10_jaccard_all_pairs)}
+    return {f.__name__: f for f in (op1_decontamination, op2_langid, op3_pii, op4_licenses, op5_ctw, op6_fingerprints, op7_bpe, op8_quality, op9_html, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_jaccard": JACCARD_SQL, "op10_jaccard_all_pairs": ALL_PAIRS_SQL}
+    return {"op10_jaccard": JACCARD_SQL}
