@@ -52,19 +52,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df written once as a table in the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # the table stands for its shuffles, whose files go as soon as it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[str] = []
 
 
+def done(df: DataFrame) -> None:
+    """Deletes the table that ``written`` gave: nothing that is still to run may read it."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        own = next((m for m in _made if m.rpartition("/")[2] == name.rpartition("/")[2]), None)
+        if own:
+            _made.remove(own)
+            _drop(spark, own)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Deletes the tables that ``written`` has made in this session; call it when no DataFrame made from them is needed."""
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _drop(spark, _made.pop())
 
 
 def small_batches(spark: SparkSession) -> None:

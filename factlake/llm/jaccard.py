@@ -4,14 +4,14 @@ Rare-first prefix filtering with length, positional and suffix filters, joined o
 pair. The result is exact: every filter only drops pairs that can't reach the threshold, and there is no cap on partners.
 
 1. One pass counts all words and n-grams of the corpus in fixed numbers of buckets and gives each document's set key (a
-   hash of its n-gram set), so exact copies become one record. An n-gram's code is its rarity class (no n-gram is more
-   frequent than its bucket or its rarest word) above 56 bits of its hash: ascending codes are rare-first, the same in
-   every task.
-2. Each record's prefix n-grams go to the task of their code. An n-gram in which a record can't
-   pair with another of near size drops.
-3. The rest go back to their records, which so learn which of their prefix n-grams are shared, and pick a few of these
-   by hashing as meeting points. They then meet by code. Records with the same meeting point give their pair there and
-   nowhere else; other pairs come from each n-gram they share and are made distinct after. Length and positional
+   hash of its n-gram set), so exact copies become one record. An n-gram's order is its rarity class (no n-gram is more
+   frequent than its bucket or its rarest word), then its hash: rare-first, the same in every task.
+2. Each record's prefix n-grams go to the task of their hash, without the record's key: sorted hashes as differences, the
+   record's number within its pack, and its size and the n-gram's place in a byte each, rounded so that no filter drops
+   more. An n-gram in which a record can't pair with another of near size drops.
+3. The rest go back to their pack, whose records so learn which of their prefix n-grams are shared, and pick a few of
+   these by hashing as meeting points. They then meet by hash. Records with the same meeting point give their pair there
+   and nowhere else; other pairs come from each n-gram they share and are made distinct after. Length and positional
    filters hold throughout: the smaller record's n-gram must lie in its index prefix, and of the n-grams that they
    share one must have enough behind it. A pair of records that meets nowhere must share several prefix n-grams.
 4. Pairs are verified in groups: a pair's group is the least key that either record is paired with, so a record's set
@@ -19,17 +19,22 @@ pair. The result is exact: every filter only drops pairs that can't reach the th
    counts over hash ranges, then the overlap is counted.
 
 Records between tasks are blocks of packed arrays, one row for each target task, so that the engine moves few large rows.
+The number of tasks follows the number of words. Packs are told by their records' keys, so a task that is run again must
+see its rows in the same order, as it does from files; a table that comes out of a shuffle is written first.
+
+Sets are known by a key of 63 bits and n-grams by 48 bits when they are verified: of m sets ``m^2 / 2^64`` pairs are
+expected to share a key by chance, and a pair of sets of 1000 n-grams has a false match four times in 10^9 pairs.
 
 Defined results: documents with null doc_id, or with null text or text without a word, are in no pair. A text of fewer
-than n words has one n-gram: all its words. Exact copies (equal sets) are linked to the least doc_id of theirs with
-jaccard 1, and that one alone is compared with other sets; ``all_pairs`` gives every pair of documents instead.
+than n words has one n-gram: all its words. ``all_pairs`` gives every pair of documents, copies with each other and with
+all near duplicates; ``join`` links exact copies (equal sets) to the least doc_id of theirs, which alone is compared.
 A doc_id is never paired with itself, and repeated rows change nothing. Ties: doc_id is less than other_id in each row.
 Texts are compared whole, at any length. Other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +43,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm._common import buffers, chunks, distinct_per_doc, lean, mix, ngrams, no_clash, words, written
+from factlake.llm._common import buffers, chunks, distinct_per_doc, done, lean, mix, ngrams, no_clash, words, written
 
 THRESHOLD, N = 0.6, 2
 #: Counters for words and for n-grams. Their numbers are fixed, and with them the size of what every task gets (8 MB).
-#: n-grams' counters are gathered in blocks of one byte each; what a task counts above 255 is gathered apart.
+#: They are gathered in blocks of one byte each, with what a task counts above 255 beside them.
 BUCKETS, GRAM_BUCKETS, BLOCK = 1 << 20, 1 << 22, 1 << 16
+#: Bits of an n-gram's hash that find candidates; n-grams of a pack; words for each task at least.
+BITS, PACK, TASK_WORDS = 41, 1_500_000, 4_000_000
 #: Prefix n-grams that a pair must share to be verified (all that it needs, if that is fewer): at least this many, and
 #: this share of the smaller record. Prefixes are longer by as much, so that each pair that reaches the threshold does.
 COMMON, COMMON_SHARE = 8, 16
@@ -95,7 +102,8 @@ def _batch(col: pa.Array, n: int, rarity: tuple[np.ndarray, np.ndarray] | None)
         yield i, j, h, *_sets(h, doc, j - i, n, rarity)
 
 
-_SCAN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("part", pa.int32()), ("block", pa.binary())])
+_SCAN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("block", pa.binary()), ("over", pa.binary())])
+_OVER = np.dtype([("at", np.uint32), ("n", np.int64)])
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -105,50 +113,116 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 def _scan(df: DataFrame, n: int) -> DataFrame:
-    """Set keys of all documents and, once a task, its counts by bucket: words, and documents of each n-gram; one table of both."""
+    """Set keys of all documents and, once a task, its counts by bucket: words, then documents of each n-gram; one table of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, grams = np.zeros(BUCKETS, np.int64), np.zeros(GRAM_BUCKETS, np.uint16)
+        counts = np.zeros(BUCKETS + GRAM_BUCKETS, np.uint32)
         for b in batches:
             for i, j, h, codes, owner in _batch(b.column(1), n, None):
-                counts += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                counts[:BUCKETS] += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
                 at, n_at = np.unique((codes % GRAM_BUCKETS).astype(np.uint32), return_counts=True)
-                grams[at] = np.minimum(grams[at] + n_at, 65535)  # beyond, only that it is frequent matters
+                counts[at + np.uint32(BUCKETS)] += n_at.astype(np.uint32)
                 key, size = _keys(codes, owner, j - i)
                 keep = np.flatnonzero(size)
                 yield _rows(doc_id=b.column(0).slice(i, j - i).take(pa.array(keep)), key=pa.array(key[keep]))
-        more = np.flatnonzero(grams > 255)
-        at = np.concatenate([np.flatnonzero(counts), more + BUCKETS])
-        n_at = np.concatenate([counts[counts > 0], grams[more].astype(np.int64) - 255])
-        for lo in range(0, len(at), 200_000):
-            yield _rows(bucket=pa.array(at[lo : lo + 200_000].astype(np.int32)), n=pa.array(n_at[lo : lo + 200_000]))
-        if grams.any():
-            small = np.minimum(grams, 255).astype(np.uint8)
-            yield _rows(part=pa.array(np.arange(GRAM_BUCKETS // BLOCK, dtype=np.int32)), block=pa.array([small[lo : lo + BLOCK].tobytes() for lo in range(0, GRAM_BUCKETS, BLOCK)], pa.binary()))
+        if counts.any():
+            parts, blocks, overs = [], [], []
+            for lo in range(0, len(counts), BLOCK):
+                own = counts[lo : lo + BLOCK]
+                more = np.flatnonzero(own > 255)
+                over = np.zeros(len(more), _OVER)
+                over["at"], over["n"] = more, own[more] - 255
+                parts.append(lo // BLOCK)
+                blocks.append(np.minimum(own, 255).astype(np.uint8).tobytes())
+                overs.append(over.tobytes())
+            yield _rows(part=pa.array(parts, pa.int32()), block=pa.array(blocks, pa.binary()), over=pa.array(overs, pa.binary()))
 
-    return df.mapInArrow(lean(run), "doc_id long, key long, bucket int, n long, part int, block binary")
+    return df.mapInArrow(lean(run), "doc_id long, key long, part int, block binary, over binary")
 
 
-def _rarity(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of the words' counts, and sixths of those of the n-grams' counts, by bucket."""
-    words_, grams = np.ones(BUCKETS, np.int64), np.zeros(GRAM_BUCKETS, np.int32)
+def _rarity(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Logarithms of the words' counts and sixths of those of the n-grams' counts, by bucket, and the number of words."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, np.ndarray] = {}
         for b in batches:
-            for p, x in zip(b.column(0).to_pylist(), b.column(1)):
-                by.setdefault(p, np.zeros(BLOCK, np.int32))[:] += np.frombuffer(x.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([v.tobytes() for v in by.values()], pa.binary())], ["part", "block"])
-
-    blocks = scanned.where("part IS NOT NULL").select("part", "block").repartition("part").mapInArrow(lean(add), "part int, block binary")
+            for p, x, more in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                own = by.setdefault(p, np.zeros(BLOCK, np.int64))
+                own += np.frombuffer(x.as_buffer(), np.uint8)
+                over = np.frombuffer(more.as_buffer(), _OVER)
+                own[over["at"]] += over["n"]
+        values = []
+        for p, own in by.items():
+            log = np.log2(np.maximum(own, 1))
+            values.append(log.astype(np.float32).tobytes() if p < BUCKETS // BLOCK else np.clip(np.rint(log * 6), 0, 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(values, pa.binary()), pa.array([int(v.sum()) for v in by.values()], pa.int64())], ["part", "value", "n"])
+
+    words_, grams, total = np.zeros(BUCKETS, np.float32), np.zeros(GRAM_BUCKETS, np.uint8), 0
+    blocks = scanned.where("part IS NOT NULL").select("part", "block", "over").repartition("part").mapInArrow(lean(add), "part int, value binary, n long")
     for b in blocks.toArrow().to_batches():
-        for p, x in zip(b.column(0).to_pylist(), b.column(1)):
-            grams[p * BLOCK : (p + 1) * BLOCK] = np.frombuffer(x.as_buffer(), np.int32)
-    for b in scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        at, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-        words_[at[at < BUCKETS]] = n[at < BUCKETS]
-        grams[at[at >= BUCKETS] - BUCKETS] += np.minimum(n[at >= BUCKETS], 2**30).astype(np.int32)
-    return np.log2(words_).astype(np.float32), np.concatenate([np.clip(np.rint(np.log2(np.maximum(grams[k : k + BLOCK], 1)) * 6), 0, 255).astype(np.uint8) for k in range(0, GRAM_BUCKETS, BLOCK)])
+        for p, x, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            if p < BUCKETS // BLOCK:
+                words_[p * BLOCK : (p + 1) * BLOCK] = np.frombuffer(x.as_buffer(), np.float32)
+                total += n
+            else:
+                lo = p * BLOCK - BUCKETS
+                grams[lo : lo + BLOCK] = np.frombuffer(x.as_buffer(), np.uint8)
+    return words_, grams, total
+
+
+def _class(size: np.ndarray) -> np.ndarray:
+    """A size in seven bits: sevenths of its logarithm, all from 2^18 on alike."""
+    return np.minimum(127, np.floor(np.log2(np.maximum(size, 1)) * 7 + 1e-9)).astype(np.uint8)
+
+
+#: Least size of each class, and what all of a class lie below.
+_FLOOR = 2.0 ** (np.arange(128) / 7) * (1 - 1e-9)
+_ROOF = np.append(2.0 ** (np.arange(1, 128) / 7) * (1 + 1e-9), np.inf)
+
+
+def _rounded(place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A place in a byte: 512ths of the size, rounded down."""
+    return np.minimum(255, place.astype(np.int64) * 512 // np.maximum(size, 1)).astype(np.uint8)
+
+
+def _unrounded(q: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A place that is that of the byte or lies before it; the same for sizes up to 512 and places in the first half."""
+    return -(-q.astype(np.int64) * size // 512)
+
+
+def _differences(codes: np.ndarray, width: int) -> bytes:
+    """Ascending codes: the first, the number of wide steps, the steps in ``width`` bytes (0 for wide ones), the wide steps with their places."""
+    step = np.diff(codes, prepend=codes[:1])
+    wide = np.flatnonzero(step >> np.int64(8 * width))
+    low = step.copy()
+    low[wide] = 0
+    narrow = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return b"".join([np.int64(codes[0]).tobytes(), np.int64(len(wide)).tobytes(), np.ascontiguousarray(narrow.T).tobytes(), wide.astype(np.int32).tobytes(), step[wide].tobytes()])
+
+
+def _summed(raw: pa.Buffer, n: int, width: int, at: int) -> tuple[np.ndarray, int]:
+    """The codes of ``_differences`` at a place in a buffer, and the place after them."""
+    first, wide = np.frombuffer(raw, np.int64, 2, at)
+    step = np.zeros((n, 8), np.uint8)
+    step[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 16).reshape(width, n).T
+    step = step.view("<i8").ravel()
+    at += 16 + n * width
+    step[np.frombuffer(raw, np.int32, wide, at)] = np.frombuffer(raw, np.int64, wide, at + 4 * int(wide))
+    return first + np.cumsum(step), at + 12 * int(wide)
+
+
+def _block(pack: int, codes: np.ndarray, width: int, *columns: np.ndarray) -> bytes:
+    return b"".join([np.int64(pack).tobytes(), np.int64(len(codes)).tobytes(), _differences(codes, width), *[c.tobytes() for c in columns]])
+
+
+def _from_block(raw: pa.Buffer, width: int, *types: type) -> tuple[int, list[np.ndarray]]:
+    pack, n = map(int, np.frombuffer(raw, np.int64, 2))
+    codes, at = _summed(raw, n, width, 16)
+    out = [codes]
+    for t in types:
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return pack, out
 
 
 def _pack(part: np.ndarray, parts: int, codes: np.ndarray, place: np.ndarray, key: np.ndarray, size: np.ndarray, *points: np.ndarray) -> pa.RecordBatch:
@@ -209,28 +283,53 @@ def _last(t: float, size: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(df: DataFrame, sent, n: int, t: float, parts: int) -> DataFrame:
-    """Blocks of (code, key, size, place) of all prefix n-grams, by code."""
+    """Packs: blocks of (hash, record, class, place) of all prefix n-grams by hash, and each pack's table of keys and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = sent.value
+        rarity, copied, rep = sent.value
+        held: list[list[np.ndarray]] = [[] for _ in range(6)]
+        rows, grams = 0, 0
+
+        def pack() -> pa.RecordBatch:
+            hashes, record, own_class, place, key, size = (np.concatenate(h) for h in held)
+            table = key.tobytes() + size.astype(np.int32).tobytes()
+            number = int.from_bytes(hashlib.blake2b(table, digest_size=7).digest(), "big")
+            order = np.argsort(hashes)
+            hashes, record, own_class, place = hashes[order], record[order], own_class[order], place[order]
+            edge = np.searchsorted(hashes * parts >> np.int64(BITS), np.arange(parts + 1))
+            used, blocks = np.flatnonzero(np.diff(edge)), []
+            for p in used:
+                x = slice(edge[p], edge[p + 1])
+                blocks.append(_block(number, hashes[x], 3, record[x], own_class[x], place[x]))
+            to = [*used.tolist(), number % parts]
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([*blocks, table], pa.binary()), pa.array([-1] * len(blocks) + [number], pa.int64())], ["part", "block", "table"])
+
         for b in batches:
-            held: list[list[np.ndarray]] = [[], [], [], []]
             for i, j, _, codes, owner in _batch(b.column(1), n, rarity):
                 key, size = _keys(codes, owner, j - i)
                 once = np.zeros(j - i, np.bool_)
                 once[np.unique(key, return_index=True)[1]] = True  # exact copies in this chunk
+                if len(copied):
+                    ids = b.column(0).slice(i, j - i).to_numpy()
+                    at = np.minimum(np.searchsorted(copied, key), len(copied) - 1)
+                    once &= (copied[at] != key) | (rep[at] == ids)
+                once &= size > 0
+                number = np.cumsum(once) - 1 + rows
                 place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
                 use = (place <= _last(t, size)[owner]) & once[owner]
-                own, codes = owner[use], codes[use]
-                # 41 bits of the hash do for finding candidates; the order stays
-                short = codes >> np.int64(56) << np.int64(41) | (codes & np.int64(_MASK)) >> np.int64(15)
-                for h, c in zip(held, (short, place[use], key[own], size[own])):
+                own, codes, place = owner[use], codes[use], place[use]
+                indexed = (place <= _last(2 * t / (1 + t), size)[own]).astype(np.uint8)
+                cols = ((codes & np.int64(_MASK)) >> np.int64(56 - BITS), number[own].astype(np.uint16), _class(size)[own] | indexed << np.uint8(7), _rounded(place, size[own]), key[once], size[once])
+                for h, c in zip(held, cols):
                     h.append(c)
-            if held[0]:
-                cols = [np.concatenate(h) for h in held]
-                yield _pack((mix(cols[0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, *cols)
+                rows, grams = rows + int(once.sum()), grams + len(own)
+                if grams > PACK or rows > 60_000:
+                    yield pack()
+                    held, rows, grams = [[] for _ in range(6)], 0, 0
+        if grams:
+            yield pack()
 
-    return df.mapInArrow(lean(run), "part int, block binary")
+    return df.mapInArrow(lean(run), "part int, block binary, table long")
 
 
 def _grouped(codes: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,44 +349,78 @@ def _grouped(codes: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.n
     return order[keep], np.concatenate([[0], np.cumsum(length)])
 
 
-def _partnered(size: np.ndarray, place: np.ndarray, edge: np.ndarray, t: float) -> np.ndarray:
-    """Which rows of the groups, sizes ascending in each, can pair with another there.
+def _partnered(codes: np.ndarray, own_class: np.ndarray, indexed: np.ndarray, t: float) -> np.ndarray:
+    """Which n-grams, ordered by hash and class with indexed ones first, can pair with another of the same hash.
 
     The smaller record's n-gram must lie in its index prefix and its size reach t of the larger's. Of smaller records
     the best partner is the last indexed one before, of larger ones the next.
     """
-    at = np.arange(len(size))
-    start = np.repeat(edge[:-1], np.diff(edge))
-    end = np.repeat(edge[1:], np.diff(edge))
-    indexed = place <= _last(2 * t / (1 + t), size)
-    least = np.ceil(t * size - 1e-9).astype(np.int64)
-    last = np.concatenate([[-1], np.maximum.accumulate(np.where(indexed, at, -1))[:-1]]) if len(at) else at
-    below = (last >= start) & (size[np.maximum(last, 0)] >= least)
-    after = np.minimum(at + 1, max(0, len(at) - 1))
-    above = indexed & (at + 1 < end) & (size >= least[after])
+    at = np.arange(len(codes))
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    length = np.diff(np.append(first, len(codes)))
+    start, end = np.repeat(first, length), np.repeat(first + length, length)
+    last = np.concatenate([[-1], np.maximum.accumulate(np.where(indexed, at, -1))[:-1]])
+    below = (last >= start) & (_ROOF[own_class[np.maximum(last, 0)]] >= t * _FLOOR[own_class])
+    after = np.minimum(at + 1, len(at) - 1)
+    above = indexed & (at + 1 < end) & (_ROOF[own_class] >= t * _FLOOR[own_class[after]])
     return below | above
 
 
 def _shared(df: DataFrame, t: float, parts: int) -> DataFrame:
-    """Of the blocks by code, the n-grams in which records can pair; blocks by key."""
+    """Of the blocks by hash, the n-grams in which records can pair; blocks by pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, place, key, size = _unpack(batches)
-        order, edge = _grouped(codes, size, key)
-        order = order[_partnered(size[order], place[order], edge, t)]
-        if len(order):
-            yield _pack(key[order] % parts, parts, codes[order], place[order], key[order], size[order])
+        packs: list[int] = []
+        held: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for b in batches:
+            tables = b.filter(pc.greater_equal(b.column(2), 0))
+            if len(tables):
+                yield tables
+            for block in b.filter(pc.less(b.column(2), 0)).column(1):
+                pack, own = _from_block(block.as_buffer(), 3, np.uint16, np.uint8, np.uint8)
+                for h, c in zip(held, (*own, np.full(len(own[0]), len(packs), np.int32))):
+                    h.append(c)
+                packs.append(pack)
+        if not packs:
+            return
+        codes, record, mark, place, pack = (np.concatenate(h) for h in held)
+        order = np.argsort(codes << np.int64(8) | (mark & np.int64(127)) << np.int64(1) | (mark < 128))
+        keep = np.sort(order[_partnered(codes[order], mark[order] & np.uint8(127), mark[order] > 127, t)])  # by block again
+        codes, record, place, pack = codes[keep], record[keep], place[keep], pack[keep]
+        edge = np.searchsorted(pack, np.arange(len(packs) + 1))
+        for k in np.flatnonzero(np.diff(edge)):
+            x = slice(edge[k], edge[k + 1])
+            yield pa.RecordBatch.from_arrays([pa.array([packs[k] % parts], pa.int32()), pa.array([_block(packs[k], codes[x], 4, record[x], place[x])], pa.binary()), pa.array([-1], pa.int64())], ["part", "block", "table"])
 
-    return df.mapInArrow(lean(run), "part int, block binary")
+    return df.mapInArrow(lean(run), "part int, block binary, table long")
 
 
 def _pointed(df: DataFrame, t: float, parts: int) -> DataFrame:
-    """Of the blocks by key, the same with each record's meeting points; blocks by code."""
+    """Of the blocks by pack, the same with each record's key, size and meeting points; blocks by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, place, key, size = _unpack(batches)
-        order = np.argsort(key, kind="stable")
+        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by: dict[int, list[list[np.ndarray]]] = {}
+        for b in batches:
+            for block, number in zip(b.column(1), b.column(2).to_pylist()):
+                raw = block.as_buffer()
+                if number >= 0:
+                    n = raw.size // 12
+                    tables[number] = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int32, n, 8 * n)
+                else:
+                    pack, own = _from_block(raw, 4, np.uint16, np.uint8)
+                    by.setdefault(pack, []).append(own)
+        for pack, blocks in by.items():
+            codes, record, place = (np.concatenate(c) for c in zip(*blocks))
+            key, size = tables[pack][0][record], tables[pack][1][record]
+            yield from chosen(codes, _unrounded(place, size.astype(np.int64)).astype(np.int32), key, size)
+
+    def chosen(codes: np.ndarray, place: np.ndarray, key: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((codes, key))
         codes, place, key, size = codes[order], place[order], key[order], size[order]
+        new = np.ones(len(codes), np.bool_)
+        new[1:] = (codes[1:] != codes[:-1]) | (key[1:] != key[:-1])  # a pack whose records all occur again has the same number
+        codes, place, key, size = codes[new], place[new], key[new], size[new]
         for _ in range(2):  # first drop records that share too few n-grams for any partner
             if not len(key):
                 return
@@ -383,15 +516,20 @@ def _candidates(df: DataFrame, t: float) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("room").alias("room"), F.min("need").alias("need")).where("n >= need AND room >= 0").select("a", "b")
 
 
-def _five(codes: np.ndarray) -> bytes:
-    """A set's hashes, 40 bits of each: a pair of sets of 1000 has a false match once in a million pairs."""
-    short = (codes & np.int64(_MASK)) >> np.int64(16)
-    return short.astype(np.uint32).tobytes() + (short >> np.int64(32)).astype(np.uint8).tobytes()
+def _packed(codes: np.ndarray) -> bytes:
+    """A set's hashes, 48 bits of each, as steps of as many bytes as the widest needs."""
+    short = (codes & np.int64(_MASK)) >> np.int64(8)
+    step = np.diff(short, prepend=0)
+    width = (int(step.max()).bit_length() + 7) // 8 or 1
+    return bytes([width]) + np.ascontiguousarray(step.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _from_five(raw: pa.Buffer) -> np.ndarray:
-    n = raw.size // 5
-    return np.sort(np.frombuffer(raw, np.uint32, n).astype(np.int64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64) << np.int64(32))
+def _unpacked(raw: pa.Buffer) -> np.ndarray:
+    all_ = np.frombuffer(raw, np.uint8)
+    width = int(all_[0])
+    step = np.zeros(((len(all_) - 1) // width, 8), np.uint8)
+    step[:, :width] = all_[1:].reshape(width, -1).T
+    return np.cumsum(step.view("<i8").ravel())
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -436,7 +574,7 @@ def _sets_of(df: DataFrame, needs: DataFrame, reps: DataFrame, n: int) -> DataFr
                     at = np.repeat(at, times)
                     same = rep[entry] == b.column(0).slice(i, j - i).to_numpy()[at]
                     at, parts = at[same], to[entry[same]].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(key[at]), pa.nulls(len(at), pa.int64()), pa.array([_five(codes[edge[x] : edge[x + 1]]) for x in at], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(key[at]), pa.nulls(len(at), pa.int64()), pa.array([_packed(codes[edge[x] : edge[x + 1]]) for x in at], pa.binary())], names)
 
     own = picked.mapInArrow(lean(run), "part int, a long, b long, codes binary")
     return own if few else own.drop("part").join(needs.withColumnRenamed("key", "a"), "a").select(*names)
@@ -465,8 +603,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, t: float, n: int
             own = x.filter(whole)
             for k, c in zip(own.column("a").to_pylist(), own.column("codes")):
                 if k not in sets:
-                    sets[k] = _from_five(c.as_buffer())
-                    bins[k] = np.bincount(sets[k] >> np.int64(32), minlength=256).astype(np.int32)
+                    sets[k] = _unpacked(c.as_buffer())
+                    bins[k] = np.bincount(sets[k] >> np.int64(40), minlength=256).astype(np.int32)
             rest = x.filter(pc.invert(whole))
             firsts.append(rest.column("a").to_numpy())
             seconds.append(rest.column("b").to_numpy())
@@ -505,14 +643,24 @@ def records(df: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFrame,
     if not 0 < t <= 1:
         raise ValueError("the threshold lies above 0 and is 1 at most")
     docs = no_clash(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = written(docs, "jaccard-documents")
     scanned = written(_scan(docs, n), "jaccard-scan")
     ids = scanned.where("key IS NOT NULL").select("doc_id", "key").distinct()
-    sent = spark.sparkContext.broadcast(_rarity(scanned))
+    *rarity, total = _rarity(scanned)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_WORDS)
+    reps = ids.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    # the documents that stand for sets of several: sent while few, and else copies meet like others and are made distinct later
+    copied = reps.where("n > 1").orderBy("key").select("key", "rep").limit(SENT_KEYS + 1).toArrow()
+    known = [copied.column(c).to_numpy() if copied.num_rows <= SENT_KEYS else np.zeros(0, np.int64) for c in ("key", "rep")]
+    sent = spark.sparkContext.broadcast((rarity, *known))
     shared = _shared(_moved(_prefixes(docs, sent, n, t, parts), parts), t, parts)
-    pairs = written(_candidates(_moved(_pointed(_moved(shared, parts), t, parts), parts), t), "jaccard-pairs")
-    reps = ids.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    return ids, written(_verify(docs, pairs, reps, t, n, parts), "jaccard-verified")
+    met = written(_pointed(_moved(shared, parts), t, parts), "jaccard-met")
+    pairs = written(_candidates(_moved(met, parts), t), "jaccard-pairs")
+    done(met)
+    verified = written(_verify(docs, pairs, reps.select("key", "rep"), t, n, parts), "jaccard-verified")
+    done(pairs)
+    return ids, verified
 
 
 def join(df: DataFrame, t: float = THRESHOLD, n: int = N) -> DataFrame:
