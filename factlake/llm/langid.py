@@ -11,7 +11,7 @@ passage of about ``PASSAGE`` bytes of each so that short texts are learnt too. A
 
 Defined results: a text that is null, or has no letter, has no language, margin 0 and isn't accepted. Otherwise the
 language of the highest score is given (ties: the first by name), and the text is accepted if that score leads the next
-by ``MARGIN`` of the norm that a text of its length can reach. Whole texts are read, at any length. Repeated rows get
+by ``MARGIN`` of the largest score's magnitude. Whole texts are read, at any length. Repeated rows get
 equal results. Languages are those of the labelled rows; with no labelled row at all nothing is accepted, and with one
 language all with letters is. Other columns are ignored.
 """
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factlake.llm._common import buffers, chunks, lean, no_clash, small_batches
@@ -54,7 +55,7 @@ def presence(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out = []
     for p in parts:  # each length apart: shorter sorts
         p = np.sort(p)
-        out.append(p[np.concatenate([[True], p[1:] != p[:-1]])])
+        out.append(p[np.r_[True, p[1:] != p[:-1]]] if len(p) else p)
     codes = np.concatenate(out)
     codes.sort(kind="stable")
     return (codes & np.uint64((1 << 26) - 1)).astype(np.uint32), (codes >> _DOC).astype(np.int64)
@@ -143,15 +144,11 @@ def fit(df: DataFrame, sample: int = SAMPLE) -> Model:
     """
     own = no_clash(df, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     mark = F.xxhash64("doc_id", F.lit("language sample"))
-    chosen: list = []
-    for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect():
-        # a hash below this bound leaves about three times the sample at most
-        bound = int(-(2**63) + 2**64 * min(1.0, 3 * sample / r["n"] + 1e-12))
-        rows = own.where(F.col("lang") == r["lang"])
-        if bound < 2**63 - 1:
-            rows = rows.where(mark <= F.lit(bound))
-        chosen += rows.select("lang", "text", mark.alias("m")).orderBy("m", "text").limit(sample).collect()
-    return fit_texts([r["text"] for r in chosen], [r["lang"] for r in chosen])
+    # a hash below its language's bound leaves about three times the sample at most, in one pass over the texts
+    bounds = own.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.when(F.col("n") > 3 * sample, F.lit(-(2.0**63)) + F.lit(2.0**64 * 3 * sample) / F.col("n")).otherwise(2.0**63).alias("bound"))
+    near = own.join(F.broadcast(bounds), "lang").where(mark.cast("double") <= F.col("bound")).select("lang", "text", mark.alias("m")).distinct()
+    chosen = near.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("m", "text"))).where(F.col("n") <= sample).select("lang", "text").toArrow()
+    return fit_texts(chosen.column("text").to_pylist(), chosen.column("lang").to_pylist())
 
 
 def identify(df: DataFrame, model: Model | None = None, keep: bool = False) -> DataFrame:
