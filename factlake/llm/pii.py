@@ -8,7 +8,8 @@ search goes on within it. An IBAN ends where its country's length or its check d
 A value is read as an index within its format's domain of N values and permuted by ``E^-1(E(i) + 1 mod N)``, where E is
 an 8-round balanced Feistel network with keyed BLAKE2b rounds and cycle walking. That is a bijection without fixed
 points, so equal values get equal pseudonyms in all documents, different ones stay different, and none stays itself.
-Check digits are computed anew; punctuation, spacing, letter case and length stay. Dates permute by day from 1900 to
+Check digits are computed anew; punctuation, spacing, letter case and length stay. An e-mail address keeps its domain,
+and counts as the same in any letter case. Dates permute by day from 1900 to
 2099 whatever their notation, so one day written in two ways stays one day. d/m/y is read day first where both fit.
 
 Defined results: null text gives null text and no findings; empty text stays empty; texts of any length are scanned
@@ -30,12 +31,17 @@ from pyspark.sql import types as T
 
 from factlake.llm._common import lean, no_clash, small_batches
 
-#: Stands in where no key is given. A real run sets spark.factlake.pii.key.
-DEFAULT_KEY = "change-me"
+#: For tests and trials alone: whoever knows the key can undo pseudonyms. A real run sets spark.factlake.pii.key.
+TEST_KEY = "change-me"
 ROUNDS = 8
+#: Characters that are permuted together.
+PIECE = 256
 
+_EMAIL = r"[._%+-]*+(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+#: An address starts with its run of such characters, so that a long run is read once; or where a finding ends.
+NEXT = re.compile(_EMAIL)
 FOUND = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?<![A-Za-z0-9._%+-])" + _EMAIL +
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
@@ -57,18 +63,25 @@ class Permuter:
     def __init__(self, key: str):
         self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
 
+    def _f(self, label: bytes, r: int, value: int, half: int) -> int:
+        """A round's keyed value of ``half`` bits: BLAKE2b in counter mode beyond one digest."""
+        size = (half + 7) // 8
+        own = bytes([r]) + value.to_bytes(size, "big")
+        out = hashlib.blake2b(own, key=self.key, person=label, digest_size=min(64, size + 8)).digest()
+        if size > 64:
+            out = b"".join(hashlib.blake2b(out, key=self.key, person=label, salt=k.to_bytes(8, "big")).digest() for k in range(-(-size // 64)))
+        return int.from_bytes(out, "big") & ((1 << half) - 1)
+
     def _rounds(self, label: bytes, x: int, n: int, order: range) -> int:
         half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
-        mask, size = (1 << half) - 1, (half + 7) // 8
+        mask = (1 << half) - 1
         while True:
             left, right = x >> half, x & mask
             for r in order:
                 if order.step > 0:
-                    f = hashlib.blake2b(bytes([r]) + right.to_bytes(size, "big"), key=self.key, person=label, digest_size=min(64, size + 8)).digest()
-                    left, right = right, left ^ (int.from_bytes(f, "big") & mask)
+                    left, right = right, left ^ self._f(label, r, right, half)
                 else:
-                    f = hashlib.blake2b(bytes([r]) + left.to_bytes(size, "big"), key=self.key, person=label, digest_size=min(64, size + 8)).digest()
-                    left, right = right ^ (int.from_bytes(f, "big") & mask), left
+                    left, right = right ^ self._f(label, r, left, half), left
             x = left << half | right
             if x < n:  # else walk on along the cycle
                 return x
@@ -77,7 +90,7 @@ class Permuter:
         """The pseudonym's index; never x itself if n is 2 or more."""
         if n < 2:
             return x
-        tag = hashlib.blake2b(f"{label}:{n}".encode(), digest_size=16).digest()
+        tag = hashlib.blake2b(f"{label}:{n:x}".encode(), digest_size=16).digest()
         y = self._rounds(tag, x, n, range(ROUNDS))
         return self._rounds(tag, (y + 1) % n, n, range(ROUNDS - 1, -1, -1))
 
@@ -85,7 +98,7 @@ class Permuter:
         """Undoes forward."""
         if n < 2:
             return x
-        tag = hashlib.blake2b(f"{label}:{n}".encode(), digest_size=16).digest()
+        tag = hashlib.blake2b(f"{label}:{n:x}".encode(), digest_size=16).digest()
         y = self._rounds(tag, x, n, range(ROUNDS))
         return self._rounds(tag, (y - 1) % n, n, range(ROUNDS - 1, -1, -1))
 
@@ -115,7 +128,15 @@ _CLASSES = (_DIGITS, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def _mixed(chars: str, step, label: str) -> str:
-    """Permutes a string of digits and letters within its classes, place by place."""
+    """Permutes a string of digits and letters within its classes, place by place; a long one in pieces, each by what comes before it."""
+    if len(chars) > PIECE:
+        before = hashlib.blake2b(digest_size=16)
+        out = []
+        for lo in range(0, len(chars), PIECE):
+            own = chars[lo : lo + PIECE]
+            out.append(_mixed(own, step, f"{label}/{before.hexdigest()}/"))
+            before.update(own.encode())
+        return "".join(out)
     x, n, sets = 0, 1, []
     for c in chars:
         own = next((s for s in _CLASSES if c in s), None)
@@ -211,7 +232,8 @@ def _date(s: str, step) -> str | None:
 
 def _email(s: str, step) -> str | None:
     local, _, domain = s.rpartition("@")
-    return _mixed(local, step, "email@" + domain.lower()) + "@" + domain
+    new = _mixed(local.lower(), step, "email@" + domain.lower())  # addresses are the same whatever their case, which stays
+    return "".join(c.upper() if own.isupper() else c for c, own in zip(new, local)) + "@" + domain
 
 
 def _secret(s: str, step) -> str | None:
@@ -242,19 +264,19 @@ class Pseudonymiser:
 
     def __call__(self, text: str) -> tuple[str, int]:
         found, done, at, out = 0, 0, 0, []
-        while m := FOUND.search(text, at):
-            own = (m.lastgroup, m[0])
+        while m := (at and at == done and NEXT.match(text, at)) or FOUND.search(text, at):
+            start, own = m.start(m.lastgroup), (m.lastgroup, m[m.lastgroup])
             if own not in self.known:
                 if len(self.known) > 200_000:
                     self.known.clear()
                 self.known[own] = self._replaced(*own)
             new, size = self.known[own]
             if new is None:  # what else it took may hold other data
-                at = m.start() + 1
+                at = start + 1
                 continue
             found += 1
-            out += (text[done : m.start()], new)
-            done = at = m.start() + size
+            out += (text[done:start], new)
+            done = at = start + size
         return "".join([*out, text[done:]]), found
 
 
@@ -265,9 +287,12 @@ def pseudonymise(df: DataFrame, key: str | None = None, count: str | None = "n_f
     """df with its findings in ``text`` replaced and, unless ``count`` is None, a column of that name with their number.
 
     One narrow pass, no shuffle. Only texts with a digit or @ reach the regular expression; no finding lacks both.
+    The key is ``key`` or else spark.factlake.pii.key; without either it is an error.
     """
     small_batches(df.sparkSession)
-    key = key or df.sparkSession.conf.get("spark.factlake.pii.key", DEFAULT_KEY)
+    key = key or df.sparkSession.conf.get("spark.factlake.pii.key", "")
+    if not key:
+        raise ValueError("no key: set spark.factlake.pii.key")
     if count and count in df.columns:
         raise ValueError(f"the table already has a column {count}")
     at = df.columns.index("text")
@@ -297,6 +322,11 @@ def pseudonymise(df: DataFrame, key: str | None = None, count: str | None = "n_f
     return df.mapInArrow(lean(run), schema)
 
 
+def session_key(df: DataFrame) -> str:
+    """The session's key, or where it has none the one for tests: for queries over synthetic tables."""
+    return df.sparkSession.conf.get("spark.factlake.pii.key", "") or TEST_KEY
+
+
 def query(df: DataFrame) -> DataFrame:
     """(doc_id, text, n_found) of all documents."""
-    return pseudonymise(no_clash(df, "doc_id", "text"))
+    return pseudonymise(no_clash(df, "doc_id", "text"), session_key(df))

@@ -102,6 +102,67 @@ def test_iban_before_other_tokens(iban, after):
     assert pii.Pseudonymiser("key")("ID12 3456 7890 4929348385146306")[1] == 1  # no IBAN, but a card in what it took
 
 
+@pytest.mark.parametrize("digits", [128, 512, 1024, 5000])
+def test_long_secrets_are_permuted_whole(digits):
+    rng = random.Random(digits)
+    secret = "".join(rng.choice("0123456789abcdef") for _ in range(digits))
+    new, n = pii.Pseudonymiser("key")(f"key={secret}.")
+    kept = sum(a == b for a, b in zip(secret, new[4:]))
+    assert n == 1 and len(new) == digits + 5 and kept < digits / 16 + 5 * math.sqrt(digits / 16)
+    p = pii.Permuter("key")
+    x = int(secret, 16)
+    assert p.backward("hex", p.forward("hex", x, 16**digits), 16**digits) == x
+
+
+def test_addresses_are_linked_whatever_their_case():
+    p = pii.Pseudonymiser("key")
+    a, b = p("john.doe@x.com")[0], p("John.Doe@x.com")[0]
+    assert a != "john.doe@x.com" and b.lower() == a and b[0].isupper() and b[5].isupper()
+    assert p("a@b.com_foo@x.org")[1] == 2 and "foo@" not in p("a@b.com_foo@x.org")[0] and ".ann@" not in p("x .ann@x.org")[0]
+    long = "ab1" * 3000
+    assert p(f"{long}@x.org")[1] == 1 and long not in p(f"{long}@x.org")[0]
+
+
+@pytest.mark.parametrize("text", ["a1" * 500_000, "0a" * 500_000, "a." * 500_000 + "@", "a@" * 500_000, "1-" * 500_000, "+1" * 500_000, "a@" + "b." * 500_000 + "1"])
+def test_pii_is_linear(text):
+    import time
+
+    began = time.process_time()
+    pii.Pseudonymiser("key")(text)
+    assert time.process_time() - began < 5
+
+
+def slow_pii(text, key):
+    """Each finding by trying every kind at every place with patterns of their own."""
+    import re
+
+    kinds = {k: re.compile(v) for k, v in (("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"))}
+    step = pii.Permuter(key).forward
+    return {k: {m[0]: pii._KINDS[k](m[0], step) for m in v.finditer(text) if pii._KINDS[k](m[0], step)} for k, v in kinds.items()}
+
+
+def test_pii_query_equals_other_finders(spark, sf):
+    """All mail addresses, IP addresses and social security numbers that plain patterns find are replaced as they should be."""
+    from factlake.llm.queries import op3_pii
+
+    new = {r.doc_id: (r.text, r.n_found) for r in op3_pii(spark, sf).collect()}
+    seen = 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        own = slow_pii(r.text, pii.TEST_KEY)
+        for values in own.values():
+            for old, by in values.items():
+                seen += 1
+                assert by in new[r.doc_id][0] and (old not in new[r.doc_id][0]), (r.doc_id, old)
+        if not new[r.doc_id][1]:
+            assert new[r.doc_id][0] == r.text
+    assert seen > 5
+
+
+def test_no_pseudonyms_without_a_key(spark):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(odd_rows(spark))
+
+
 def test_pii_rows(spark):
     df = odd_rows(spark)
     out = pii.pseudonymise(df, key="k")
@@ -111,8 +172,8 @@ def test_pii_rows(spark):
     assert out.where("text LIKE '%974%'").count() == 0
     assert [r.text for r in out.where("doc_id = 4").collect()] == [LONG]
     with pytest.raises(ValueError):
-        pii.pseudonymise(df, count="count")
-    assert pii.pseudonymise(df.limit(0), count=None).columns == df.columns
+        pii.pseudonymise(df, "k", count="count")
+    assert pii.pseudonymise(df.limit(0), "k", count=None).columns == df.columns
 
 
 # licenses --------------------------------------------------------------------------------------------------------------
@@ -157,6 +218,55 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_a_license_needs_its_name_and_version(spark):
+    s = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE, licenses.NAMES)
+    for text, want in (("Released under the BSD License", ["BSD"]), ("Released under the Apache License", []), ("Licensed under CC BY 3.0", ["CC-BY-3.0"]), ("Licensed under the MIT License.", ["MIT"]),
+                       ("This work is licensed under the GNU General Public License, version 1", []), ("This work is licensed under the GNU Affero General Public License, version 3", ["AGPL-3.0"])):
+        assert [f[0] for f in s(text)] == want, text
+    for name, text in licenses.TEMPLATES.items():
+        assert [f[:2] for f in s(f"zz {text} zz")] == [(name, 1.0)], name
+
+
+def slow_scan(text, templates, coverage, names):
+    """Findings by aligning around every word of a text, the best of overlapping ones kept."""
+    own, found = licenses.tokens(text), set()
+    for name, t in ((n, licenses.tokens(t)) for n, t in templates.items()):
+        need = set(licenses.tokens(names.get(name, "")))
+        for i in range(len(own)):
+            lo = max(0, i - len(t) - 4)
+            pairs = licenses.align(t, own[lo : i + len(t) + 5])
+            if len(pairs) >= coverage * len(t) and need <= {t[a] for a, _ in pairs}:
+                found.add((name, len(pairs) / len(t), len(pairs), lo + pairs[0][1], lo + pairs[-1][1]))
+    kept = []
+    for f in sorted(found, key=lambda f: (-f[2], -f[1], -len(licenses.tokens(templates[f[0]])), f[0], f[3])):
+        if all(f[4] < k[3] or f[3] > k[4] for k in kept):
+            kept.append(f)
+    return {f[:3] for f in kept}
+
+
+def test_license_query_equals_brute_force(spark, sf):
+    from factlake.llm.queries import op4_licenses
+
+    got: dict = {}
+    for r in op4_licenses(spark, sf).collect():
+        got.setdefault(r.doc_id, set()).add((r.license, r.coverage, r.matched_words))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 4000").collect()}
+    hot = [d for d in texts if d in got or "icense" in (texts[d] or "")][:40] + list(texts)[:25]
+    for d in hot:
+        assert got.get(d, set()) == slow_scan(texts[d], licenses.TEMPLATES, licenses.COVERAGE, licenses.NAMES), d
+    assert len(got) > 0
+
+
+def test_long_templates_are_found_twice():
+    rng = random.Random(4)
+    long = [rng.choice(["the", "of", "license"]) if rng.random() < 0.5 else f"w{rng.randrange(400)}" for _ in range(900)]
+    copy = [w for w in long if rng.random() > 0.08]
+    s = licenses.Scanner({"own": " ".join(long)}, 0.8)
+    found = s(" ".join(["filler"] * 300 + long + ["filler"] * 500 + copy + ["filler"] * 40))
+    assert [f[0] for f in found] == ["own", "own"] and found[0][1] == 1 and found[0][3] == 300 and found[1][1] > 0.8
+    assert s(" ".join(copy[:600])) == [] and licenses.Scanner({"none": "!!"}, 0.8)("a b") == []
+
+
 # HTML ------------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize(
@@ -197,6 +307,31 @@ def test_elements_between_row_and_cell(row, text):
     assert html.render(f"<table><tr>{row}</tr></table>") == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<svg><title>t</title><text>Axis</text><text>Two</text></svg>x", "Axis\nTwo\nx"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>", "x=1"),
+        ("<input value=Name> <input type=password value=p><input placeholder=City>", "Name City"),
+        ("<table><tr><th rowspan=2>A<td>b<td>c<tr><td>d<td>e<tr><td colspan=2>wide<td>z</table>", "A | b | c\n  | d | e\nwide  | z"),
+        ("<table><tr><td>a<td rowspan=0>s<tr><td>b<tr><td>c<td>d</table>", "a | s\nb |\nc |   | d"),
+        ("a <b c='d>e", "a e"),
+        ("<p>x <a href=", "x <a href="),
+    ],
+)
+def test_render_more(page, text):
+    assert html.render(page) == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<a x=\"'" * 150_000, "<!" * 500_000, "<" * 1_000_000, "<script>" + "</script " * 120_000, "<![CDATA[" * 100_000, "<table>" + "<tr><td colspan=1000 rowspan=0>x" * 30_000])
+def test_html_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html.render(page)
+    assert time.process_time() - began < 6
+
+
 def test_html_deep_and_rows(spark):
     assert html.render("<div>" * 5000 + "x") == "x"
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x"), (2, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
@@ -217,6 +352,44 @@ def test_html_keeps_all_visible_words(spark, sf):
 
 # language ID and quality -------------------------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("texts", [["a"], ["a", "b"], ["", "x"], ["ab", "cd"], ["", ""], []])
+def test_language_of_tiny_texts(spark, texts):
+    """Chunks of texts of a byte or two, and a tiny text before a very long one."""
+    raw = [t.encode() for t in texts]
+    codes, owner = langid.presence(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [set(codes[owner == k].tolist()) for k in range(len(texts))] == [{(n - 1) << 24 | int.from_bytes(r[i : i + n], "big") for n in (1, 2, 3) for i in range(len(r) - n + 1)} for r in raw]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(90, "a", "en"), (91, "hello world " * 100_000, "en")]
+    assert langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == len(rows)
+
+
+def slow_language(texts, langs, rows):
+    """Kernel matrices by sets and a dense solve: the scores that the collapsed weights should give."""
+    model = langid.fit_texts(texts, langs)
+    known = {int(g): k for k, g in enumerate(model.grams)}
+
+    def grams(t):
+        b = bytes(langid._FOLD[np.frombuffer(t.lower().encode(), np.uint8)])
+        return {(n - 1) << 24 | int.from_bytes(b[i : i + n], "big") for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    return [np.sum([model.weights[known[g]] for g in grams(t) if g in known] or [np.zeros(len(model.languages))], axis=0) / math.sqrt(max(1, len(grams(t)))) for t in rows], model
+
+
+def test_language_query_equals_brute_force(spark, sf):
+    from factlake.llm.queries import op2_langid
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sample = [(r.text, r.lang) for r in docs.collect()]
+    assert max(sum(x == n for _, x in sample) for n in model.languages) <= langid.SAMPLE  # all are learnt here, whatever the order
+    slow, _ = slow_language([t for t, _ in sample], [n for _, n in sample], [t for _, t in rows])
+    got = {r.doc_id: r for r in op2_langid(spark, sf).collect()}
+    for (d, t), s in zip(rows, slow):
+        assert abs(got[d].score - s.max()) < 1e-3
+        if np.sort(s)[-1] - np.sort(s)[-2] > 1e-3:
+            assert got[d].language == model.languages[int(s.argmax())]
+
+
 def test_language_held_out(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").collect()
     model = langid.fit_texts([r.text for r in rows[:400]], [r.lang for r in rows[:400]])
