@@ -15,8 +15,8 @@ pair. The result is exact: every filter only drops pairs that can't reach the th
    filters hold throughout: the smaller record's n-gram must lie in its index prefix, and of the n-grams that they
    share one must have enough behind it. A pair of records that meets nowhere must share several prefix n-grams.
 4. Pairs are verified in groups: a pair's group is the least key that either record is paired with, so a record's set
-   is sent to few tasks, however many partners it has; large groups are split. The suffix filter compares the sets'
-   counts over hash ranges, then the overlap is counted.
+   is sent to few tasks, however many partners it has; large groups are split. The suffix filter comes first: the sets'
+   counts over hash ranges, two bits each, bound how far they are apart. The sets themselves are sent for what is left.
 
 Records between tasks are blocks of packed arrays, one row for each target task, so that the engine moves few large rows.
 The number of tasks follows the number of words. Packs are told by their records' keys, so a task that is run again must
@@ -58,6 +58,8 @@ COMMON, COMMON_SHARE = 8, 16
 POINTS, MANY = 4, 16
 #: Keys that are sent to every task (8 bytes each); beyond, Spark joins by shuffling.
 SENT_KEYS = 2_000_000
+#: N-grams of a set whose hashes are packed in less.
+LARGE = 16_000
 #: Pairs of a group that one task verifies.
 GROUP_PAIRS = 1_000_000
 _MASK = np.uint64((1 << 56) - 1)
@@ -102,7 +104,7 @@ def _batch(col: pa.Array, n: int, rarity: tuple[np.ndarray, np.ndarray] | None)
         yield i, j, h, *_sets(h, doc, j - i, n, rarity)
 
 
-_SCAN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("block", pa.binary()), ("over", pa.binary())])
+_SCAN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary()), ("part", pa.int32()), ("block", pa.binary()), ("over", pa.binary())])
 _OVER = np.dtype([("at", np.uint32), ("n", np.int64)])
 
 
@@ -112,8 +114,28 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _SCAN], schema=_SCAN)
 
 
+def _ranges(size: np.ndarray) -> np.ndarray:
+    """Logarithm of the number of hash ranges of a sketch: half to all of a set's size."""
+    return np.maximum(4, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) - 1)
+
+
+def _sketches(codes: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.Array:
+    """How many n-grams of each document lie in each hash range, three at most, four ranges a byte."""
+    log = _ranges(size)
+    edge = np.concatenate([[0], np.cumsum(np.int64(1) << log)])
+    at = edge[owner] + ((codes & np.int64(_MASK)) >> (56 - log)[owner])
+    four = np.minimum(np.bincount(at, minlength=int(edge[-1])), 3).astype(np.uint8).reshape(-1, 4)
+    flat = four[:, 0] | four[:, 1] << np.uint8(2) | four[:, 2] << np.uint8(4) | four[:, 3] << np.uint8(6)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((edge // 4).astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _from_sketch(raw: pa.Buffer) -> np.ndarray:
+    flat = np.frombuffer(raw, np.uint8)
+    return np.stack([flat >> np.uint8(2 * k) & np.uint8(3) for k in range(4)], axis=1).ravel()
+
+
 def _scan(df: DataFrame, n: int) -> DataFrame:
-    """Set keys of all documents and, once a task, its counts by bucket: words, then documents of each n-gram; one table of both."""
+    """Set keys and sketches of all documents and, once a task, its counts by bucket: words, then documents of each n-gram; one table of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS + GRAM_BUCKETS, np.uint32)
@@ -124,7 +146,7 @@ def _scan(df: DataFrame, n: int) -> DataFrame:
                 counts[at + np.uint32(BUCKETS)] += n_at.astype(np.uint32)
                 key, size = _keys(codes, owner, j - i)
                 keep = np.flatnonzero(size)
-                yield _rows(doc_id=b.column(0).slice(i, j - i).take(pa.array(keep)), key=pa.array(key[keep]))
+                yield _rows(doc_id=b.column(0).slice(i, j - i).take(pa.array(keep)), key=pa.array(key[keep]), size=pa.array(size[keep].astype(np.int32)), sketch=_sketches(codes, owner, size).take(pa.array(keep)))
         if counts.any():
             parts, blocks, overs = [], [], []
             for lo in range(0, len(counts), BLOCK):
@@ -137,7 +159,7 @@ def _scan(df: DataFrame, n: int) -> DataFrame:
                 overs.append(over.tobytes())
             yield _rows(part=pa.array(parts, pa.int32()), block=pa.array(blocks, pa.binary()), over=pa.array(overs, pa.binary()))
 
-    return df.mapInArrow(lean(run), "doc_id long, key long, part int, block binary, over binary")
+    return df.mapInArrow(lean(run), "doc_id long, key long, size int, sketch binary, part int, block binary, over binary")
 
 
 def _rarity(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -452,6 +474,7 @@ def _candidates(df: DataFrame, t: float) -> DataFrame:
         points = [p[order] for p in points]
         indexed = place <= _last(2 * t / (1 + t), size)
         least, rest = np.ceil(t * size - 1e-9).astype(np.int64), size - place - 1
+        whole = np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int64)
         mine = [np.where(indexed, (mix(codes.astype(np.uint64) + np.uint64(0x1234567 * (r + 1))) & np.uint64(0xFFFFFFFF)).astype(np.uint32), 0) == p for r, p in enumerate(points)]
         out: list[tuple[np.ndarray, ...]] = []
         held = 0
@@ -501,7 +524,9 @@ def _candidates(df: DataFrame, t: float) -> DataFrame:
             # the first n-gram in common has enough behind it; of those that meet that is left to the verification
             alpha = np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9).astype(np.int64)
             room = np.where(here, 0, np.clip(1 + np.minimum(rest[i], rest[j]) - alpha, -1, 0)).astype(np.int32)
-            need = np.where(here, 1, np.minimum(_common(np.minimum(size[i], size[j])), alpha)).astype(np.int32)
+            # of what they share, so much lies in the prefixes of either side
+            mine_, other = alpha - whole[i] + _common(size[i]), alpha - least[j] + _common(size[j])
+            need = np.where(here, 1, np.minimum(np.minimum(mine_, other), alpha)).astype(np.int32)
             use = here | ~met
             if use.any():
                 out.append((key[i[use]], key[j[use]], room[use], need[use]))
@@ -517,19 +542,23 @@ def _candidates(df: DataFrame, t: float) -> DataFrame:
 
 
 def _packed(codes: np.ndarray) -> bytes:
-    """A set's hashes, 48 bits of each, as steps of as many bytes as the widest needs."""
+    """A set's hashes, 48 bits of each: the low 40 (of large sets 32) bits as bytes, the rest in unary, a one for each hash and a zero after each range."""
     short = (codes & np.int64(_MASK)) >> np.int64(8)
-    step = np.diff(short, prepend=0)
-    width = (int(step.max()).bit_length() + 7) // 8 or 1
-    return bytes([width]) + np.ascontiguousarray(step.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    width = 4 if len(short) >= LARGE else 5
+    low = np.ascontiguousarray(short.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    high = np.zeros(len(short) + (1 << 48 - 8 * width), np.uint8)
+    high[(short >> np.int64(8 * width)) + np.arange(len(short))] = 1
+    return np.int32(len(short)).tobytes() + low.tobytes() + np.packbits(high).tobytes()
 
 
 def _unpacked(raw: pa.Buffer) -> np.ndarray:
     all_ = np.frombuffer(raw, np.uint8)
-    width = int(all_[0])
-    step = np.zeros(((len(all_) - 1) // width, 8), np.uint8)
-    step[:, :width] = all_[1:].reshape(width, -1).T
-    return np.cumsum(step.view("<i8").ravel())
+    n = int(all_[:4].view(np.int32)[0])
+    width = 4 if n >= LARGE else 5
+    low = np.zeros((n, 8), np.uint8)
+    low[:, :width] = all_[4 : 4 + n * width].reshape(width, n).T
+    high = np.flatnonzero(np.unpackbits(all_[4 + n * width :], count=n + (1 << 48 - 8 * width))) - np.arange(n)
+    return low.view("<i8").ravel() | high << np.int64(8 * width)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -580,7 +609,7 @@ def _sets_of(df: DataFrame, needs: DataFrame, reps: DataFrame, n: int) -> DataFr
     return own if few else own.drop("part").join(needs.withColumnRenamed("key", "a"), "a").select(*names)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, t: float, n: int, parts: int) -> DataFrame:
+def _verify(docs: DataFrame, scanned: DataFrame, pairs: DataFrame, reps: DataFrame, t: float, n: int, parts: int) -> DataFrame:
     """(a, b, overlap, size_a, size_b) of the pairs that reach the threshold, each verified once."""
     ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     hub = ends.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("hub"))
@@ -591,45 +620,23 @@ def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, t: float, n: int
     split = grouped.groupBy("g").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("splits"))
     split = _small(written(split.where("splits > 1"), "jaccard-splits"))
     placed = written(grouped.join(split, "g", "left").withColumn("splits", F.coalesce("splits", F.lit(1))).select(F.pmod(F.xxhash64("g", F.pmod(F.hash("a"), F.col("splits"))), F.lit(parts)).cast("int").alias("part"), "a", "b"), "jaccard-placed")
-    needs = placed.select("part", F.explode(F.array("a", "b")).alias("key")).distinct()
-    rows = _sets_of(docs, needs, reps, n).unionByName(placed.select("part", "a", "b", F.lit(None).cast("binary").alias("codes")))
+    near = written(_near(placed, scanned, reps, t, parts), "jaccard-near")
+    done(placed)
+    needs = near.select("part", F.explode(F.array("a", "b")).alias("key")).distinct()
+    rows = _sets_of(docs, needs, reps, n).unionByName(near.select("part", "a", "b", F.lit(None).cast("binary").alias("codes")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
-        bins: dict[int, np.ndarray] = {}
-        firsts, seconds = [], []
-        for x in batches:
-            whole = x.column("codes").is_valid()
-            own = x.filter(whole)
-            for k, c in zip(own.column("a").to_pylist(), own.column("codes")):
-                if k not in sets:
-                    sets[k] = _unpacked(c.as_buffer())
-                    bins[k] = np.bincount(sets[k] >> np.int64(40), minlength=256).astype(np.int32)
-            rest = x.filter(pc.invert(whole))
-            firsts.append(rest.column("a").to_numpy())
-            seconds.append(rest.column("b").to_numpy())
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (firsts, seconds))
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else []
         found: list[tuple] = []
-        for lo, hi in zip(start, [*start[1:], len(a)]):
-            own = sets[int(a[lo])]
-            for at in range(lo, hi, 2000):
-                partners = b[at : min(at + 2000, hi)]
-                # suffix filter: the counts over hash ranges bound the symmetric difference from below
-                near = np.array([len(sets[int(p)]) for p in partners])
-                most = len(own) + near - 2 * np.ceil(t / (1 + t) * (len(own) + near) - 1e-9)
-                apart = np.abs(np.stack([bins[int(p)] for p in partners]) - bins[int(a[lo])]).sum(axis=1)
-                partners, near = partners[apart <= most], near[apart <= most]
-                if not len(partners):
-                    continue
-                flat = np.concatenate([sets[int(p)] for p in partners])
-                place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                both = np.add.reduceat((own[place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(near)[:-1]]))
-                good = both >= t * (len(own) + near - both) - 1e-9
-                if good.any():
-                    found.append((np.full(int(good.sum()), a[lo]), partners[good], both[good], np.full(int(good.sum()), len(own)), near[good]))
+        for k, partners in _by_first(batches, sets, _unpacked):
+            own = sets[k]
+            near = np.array([len(sets[int(p)]) for p in partners])
+            flat = np.concatenate([sets[int(p)] for p in partners])
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            both = np.add.reduceat((own[place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(near)[:-1]]))
+            good = both >= t * (len(own) + near - both) - 1e-9
+            if good.any():
+                found.append((np.full(int(good.sum()), k), partners[good], both[good], np.full(int(good.sum()), len(own)), near[good]))
         if found:
             cols = [np.concatenate(c).astype(np.int64) for c in zip(*found)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "overlap", "size_a", "size_b"])
@@ -637,6 +644,77 @@ def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, t: float, n: int
     return _moved(rows, parts).mapInArrow(lean(run), "a long, b long, overlap long, size_a long, size_b long")
 
 
+def _by_first(batches: Iterator[pa.RecordBatch], sets: dict[int, np.ndarray], read) -> Iterator[tuple[int, np.ndarray]]:
+    """Fills sets from the rows (part, key, null, codes) and gives each first key of the pairs (part, a, b, null) with up to 2000 partners."""
+    firsts, seconds = [], []
+    for x in batches:
+        whole = x.column("codes").is_valid()
+        own = x.filter(whole)
+        for k, c in zip(own.column("a").to_pylist(), own.column("codes")):
+            if k not in sets:
+                sets[k] = read(c.as_buffer())
+        rest = x.filter(pc.invert(whole))
+        firsts.append(rest.column("a").to_numpy())
+        seconds.append(rest.column("b").to_numpy())
+    a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (firsts, seconds))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else []
+    for lo, hi in zip(start, [*start[1:], len(a)]):
+        for at in range(lo, hi, 2000):
+            yield int(a[lo]), b[at : min(at + 2000, hi)]
+
+
+def _near(placed: DataFrame, scanned: DataFrame, reps: DataFrame, t: float, parts: int) -> DataFrame:
+    """(part, a, b) of the pairs whose sketches don't rule out the threshold: the suffix filter.
+
+    The differences of counts over hash ranges, whatever they are clipped at, sum up to no more than the n-grams that
+    only one of the two has.
+    """
+    needs = placed.select("part", F.explode(F.array("a", "b")).alias("key")).distinct().join(reps, "key")
+    own = scanned.where("key IS NOT NULL").select("key", F.col("doc_id").alias("rep"), "sketch", "size")
+    sent = needs.join(own, ["key", "rep"]).select("part", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), F.concat(F.unhex(F.lpad(F.hex("size"), 8, "0")), "sketch").alias("codes"))
+    rows = sent.unionByName(placed.select("part", "a", "b", F.lit(None).cast("binary").alias("codes")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketches: dict[int, tuple[int, dict[int, np.ndarray]]] = {}
+        part = None
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal part
+            for b in batches:
+                part = b.column("part")[0] if part is None and len(b) else part  # all rows of a task have the same
+                yield b
+
+        def read_one(raw: pa.Buffer) -> tuple[int, dict[int, np.ndarray]]:
+            counts = _from_sketch(raw.slice(4)).astype(np.int16)
+            return int.from_bytes(raw.slice(0, 4).to_pybytes(), "big"), {len(counts): counts}
+
+        def at(k: int, ranges: int) -> np.ndarray:
+            by = sketches[k][1]
+            if ranges not in by:
+                by[ranges] = at(k, 2 * ranges).reshape(-1, 2).sum(axis=1, dtype=np.int16)
+            return by[ranges]
+
+        for k, partners in _by_first(seen(), sketches, read_one):
+            size, by = sketches[k]
+            ranges = max(by)
+            theirs = np.array([max(sketches[int(p)][1]) for p in partners])
+            keep = np.zeros(len(partners), np.bool_)
+            for m in np.unique(np.minimum(theirs, ranges)):
+                those = np.flatnonzero(np.minimum(theirs, ranges) == m)
+                for lo in range(0, len(those), max(1, 4_000_000 // int(m))):
+                    some = those[lo : lo + max(1, 4_000_000 // int(m))]
+                    near = np.array([sketches[int(p)][0] for p in partners[some]])
+                    most = size + near - 2 * np.ceil(t / (1 + t) * (size + near) - 1e-9)
+                    keep[some] = np.abs(np.stack([at(int(p), int(m)) for p in partners[some]]) - at(k, int(m))).sum(axis=1, dtype=np.int64) <= most
+            if keep.any():
+                n = int(keep.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * n, pa.int32()), pa.array(np.full(n, k)), pa.array(partners[keep])], ["part", "a", "b"])
+
+    return _moved(rows, parts).mapInArrow(lean(run), "part int, a long, b long")
+
+
 def records(df: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of all documents with a word, and the verified pairs of keys. Both are tables in the shared folder."""
     spark = df.sparkSession
@@ -658,7 +736,7 @@ def records(df: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFrame,
     met = written(_pointed(_moved(shared, parts), t, parts), "jaccard-met")
     pairs = written(_candidates(_moved(met, parts), t), "jaccard-pairs")
     done(met)
-    verified = written(_verify(docs, pairs, reps.select("key", "rep"), t, n, parts), "jaccard-verified")
+    verified = written(_verify(docs, scanned, pairs, reps.select("key", "rep"), t, n, parts), "jaccard-verified")
     done(pairs)
     return ids, verified
 
