@@ -3,7 +3,8 @@
 Texts are brought to lower-case words with single spaces. Candidates come from a complete filter: an item of m characters
 that may have k edits is cut into disjoint pieces of ``q`` characters, ``PIECE`` or as many as leave more than k pieces.
 An edit destroys one piece at most, so a passage within the bound still holds ``m // q - k`` of them or more, unchanged,
-and shifts them by k at most. All places of a document are looked up among the pieces; pieces found are counted for each
+and shifts them by k at most. Of these, ``LEFT_OUT`` needn't be found as well: the commonest pieces of an item, as many as
+that, aren't looked up at all. All places of a document are looked up among the others; pieces found are counted for each
 item over bands of k + 1 shifts, and two bands side by side that together reach that number are a candidate if
 all but 5 k of the item's 5-grams are there within these shifts as well: an edit destroys five at most. Its text is
 verified once for each document and item by the exact edit distance between the whole item and the best-fitting passage
@@ -37,6 +38,8 @@ from factlake.llm._common import IS_WORD, buffers, chunks, lean, no_clash
 SHARE = 0.15
 #: Longest piece; bits of its hash; least width of a band of shifts; items looked up at once.
 PIECE, SLOTS, BAND, GROUP = 5, 20, 8, 500
+#: Share of the pieces that must be found that is left out of the search.
+LEFT_OUT = 0.3
 #: Above so many counters for a chunk, pieces found are sorted instead.
 DENSE = 10_000_000
 SLICE = 16_000_000
@@ -82,8 +85,14 @@ class Pieces:
         self.grams = [slots(np.frombuffer(t, np.uint8), q).astype(np.int16) for _, t in items]
         self.kept = size - q + 1 - q * most  # of these, as many at least are unchanged
         self.ahead = int(size.max())  # a shift may be so far below zero
+        every = [slots(np.frombuffer(t, np.uint8), q) for _, t in items]
+        often = np.bincount(np.concatenate(every), minlength=1 << SLOTS)
+        # a part of the pieces that must be found needn't be looked for: the commonest of each item
+        less = (self.least * LEFT_OUT).astype(np.int64)
+        self.least = self.least - less
         where = [np.arange(0, m - q + 1, q) for m in size.tolist()]
-        slot = np.concatenate([slots(np.frombuffer(t, np.uint8), q)[w] for (_, t), w in zip(items, where)])
+        where = [np.sort(w[np.argsort(often[own[w]], kind="stable")[: len(w) - d]]) for own, w, d in zip(every, where, less.tolist())]
+        slot = np.concatenate([own[w] for own, w in zip(every, where)])
         order = np.argsort(slot, kind="stable")
         self.item = np.repeat(np.arange(len(items)), [len(w) for w in where])[order]
         self.back = self.ahead - np.concatenate(where)[order]
@@ -180,7 +189,7 @@ class Index:
         data, offs = buffers(pc.utf8_lower(pa.array(texts, pa.string())))
         text, offs = normal(data, offs)
         self.items = [text[offs[i] : offs[i + 1]].tobytes().strip() for i in range(len(ids))]
-        self.pieces = [pieces(x) for x in self.items]
+        self.pieces: dict[int, frozenset[bytes]] = {}  # made where they are needed: items are sent, not these
         by: dict[int, list[tuple[int, bytes]]] = {}
         for x, t in enumerate(self.items):
             if t:
@@ -203,6 +212,8 @@ class Index:
                     lo, hi = max(int(own[d]), low), min(int(own[d + 1]), high)
                     if hi - lo >= len(item) - most and seen.get((d, x), (1, 0))[0] > 0:
                         passage = text[lo:hi].tobytes()
+                        if x not in self.pieces:
+                            self.pieces[x] = pieces(item)
                         if len(self.pieces[x] - pieces(passage)) <= 5 * most:
                             edits, end = distance(item, passage)
                             if edits <= most and ((d, x) not in seen or edits < seen[d, x][0]):
