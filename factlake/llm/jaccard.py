@@ -693,7 +693,7 @@ def _near(placed: DataFrame, scanned: DataFrame, reps: DataFrame, t: float, part
         def at(k: int, ranges: int) -> np.ndarray:
             by = sketches[k][1]
             if ranges not in by:
-                by[ranges] = at(k, 2 * ranges).reshape(-1, 2).sum(axis=1, dtype=np.int16)
+                by[ranges] = np.minimum(at(k, 2 * ranges).reshape(-1, 2).sum(axis=1, dtype=np.int16), 3)  # as if counted so
             return by[ranges]
 
         for k, partners in _by_first(seen(), sketches, read_one):

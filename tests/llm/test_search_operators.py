@@ -87,6 +87,22 @@ def test_join_through_shuffled_sets(spark, monkeypatch):
     assert {(r.doc_id, r.other_id, r.jaccard) for r in jaccard.join(df, 0.5, 3).collect()} == slow_join(rows, 0.5, 3)
 
 
+def test_sketches_never_rule_out_a_pair():
+    """Counts over hash ranges, also of sets whose sketches have different numbers of ranges, bound the difference from below."""
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        common = rng.integers(0, 1 << 56, rng.integers(1, 90))
+        sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 56, rng.integers(0, 60))])) for _ in range(2)]
+        size = np.array([len(s) for s in sets])
+        raw = jaccard._sketches(np.concatenate(sets), np.repeat([0, 1], size), size)
+        counts = [jaccard._from_sketch(raw[k].as_buffer()).astype(int) for k in (0, 1)]
+        while len(counts[0]) != len(counts[1]):
+            k = int(len(counts[1]) > len(counts[0]))
+            counts[k] = np.minimum(counts[k].reshape(-1, 2).sum(axis=1), 3)
+        assert np.abs(counts[0] - counts[1]).sum() <= len(np.setxor1d(*sets))
+        assert list(jaccard._unpacked(pa.py_buffer(jaccard._packed(sets[0])))) == list(sets[0] >> 8)
+
+
 def slow_keep(rows, t, n):
     pairs = slow_join(rows, t, n)
     up = {}
