@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factlake.operators.ranking import quarantined
+from factlake.shared import settled
 
 SUPERSEDED_DAYS, QUARANTINED_DAYS, MIN_AGE_DAYS, KEEP, BATCH = 90, 60, 30, "keep", 25
 
@@ -41,42 +42,50 @@ def useless_first(live: DataFrame, stats: DataFrame, now: str, min_days: int = M
 ORDER = ("proven", "referenced", "ignored DESC", "injected DESC", "recorded_at", "id")
 
 
+def _order() -> list[Column]:
+    return [F.expr(o.split()[0]).desc() if o.endswith("DESC") else F.col(o).asc() for o in ORDER]
+
+
 def ranked(candidates: DataFrame) -> DataFrame:
-    """Candidates with their place in the order of uselessness."""
-    return candidates.withColumn("place", F.row_number().over(W.orderBy(*[F.expr(o.split()[0]).desc() if o.endswith("DESC") else F.col(o) for o in ORDER])))
+    """Candidates with their place in the order of uselessness, and the bytes up to there."""
+    return _placed(candidates, _order())[0]
 
 
-def _upto(df: DataFrame, order: list[Column], over: int | Column, batch: int) -> DataFrame:
-    """Rows in order until their bytes reach what is over, rounded up to whole batches.
+def _placed(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows with their place in that order and ``freed``, the bytes up to there; and the parts' totals.
 
-    The running sum is two-level: rows are range-partitioned, each part is summed on its own, and the parts' totals,
-    one row each, are added up before; no task holds all rows.
+    The running sums are two-level: rows are range-partitioned and settled once, each part is summed on its own, and the
+    parts' totals, one row each, are added up; no task holds all rows.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    parts = settled(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ordered")
     w = W.partitionBy("part").orderBy(*order)
     own = parts.withColumn("sum_in", F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n_in", F.row_number().over(w))
     totals = parts.groupBy("part").agg(F.sum("bytes").alias("b"), F.count("*").alias("c"))
     t = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offset = totals.select("part", F.coalesce(F.sum("b").over(t), F.lit(0)).alias("b0"), F.coalesce(F.sum("c").over(t), F.lit(0)).alias("c0"))
     x = own.join(F.broadcast(offset), "part").withColumn("place", F.col("n_in") + F.col("c0")).withColumn("freed", F.col("sum_in") + F.col("b0"))
-    need = x.where(F.col("freed") >= over).agg(F.min("place").alias("m"))
-    total = x.agg(F.max("place").alias("m"))
-    last = need.crossJoin(total.withColumnRenamed("m", "t")).select((F.ceil(F.coalesce(need["m"], F.col("t")) / batch) * batch).alias("last"))
-    return x.crossJoin(F.broadcast(last)).where((F.col("place") <= F.col("last")) & (F.lit(over) > 0)).drop("part", "sum_in", "n_in", "b0", "c0", "last")
+    return x.drop("part", "sum_in", "n_in", "b0", "c0"), totals
+
+
+def _upto(df: DataFrame, order: list[Column], over, batch: int) -> DataFrame:
+    """Rows in order until their bytes reach what is over (of the total of bytes), rounded up to whole batches; none if nothing is over."""
+    x, totals = _placed(df, order)
+    bound = totals.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.sum("c").alias("t")).select(over(F.col("b")).alias("over"), "t")
+    need = x.crossJoin(F.broadcast(bound)).where(F.col("freed") >= F.col("over")).agg(F.min("place").alias("m"))
+    last = need.crossJoin(bound).select((F.ceil(F.coalesce("m", "t") / batch) * batch).alias("last"), "over")
+    return x.crossJoin(F.broadcast(last)).where((F.col("place") <= F.col("last")) & (F.col("over") > 0)).drop("last", "over")
 
 
 def pressure(candidates: DataFrame, over_bytes: int, batch: int = BATCH) -> DataFrame:
     """The least useful facts whose bytes bring a tier that is over its cap by so much below it, in whole batches."""
-    order = [F.expr(o.split()[0]).desc() if o.endswith("DESC") else F.col(o).asc() for o in ORDER]
-    return _upto(candidates, order, over_bytes, batch)
+    return _upto(candidates, _order(), lambda total: F.lit(over_bytes), batch)
 
 
 def purge_fifo(cold: DataFrame, cap_bytes: int, batch: int = BATCH) -> DataFrame:
     """Archived rows (id, archived_at, bytes) that are deleted for good, oldest first, until the tier fits; none for cap 0."""
     if cap_bytes <= 0:
         return cold.limit(0)
-    over = (cold.agg(F.sum("bytes")).first()[0] or 0) - cap_bytes
-    return _upto(cold, [F.col("archived_at").asc(), F.col("id").asc()], int(over), batch).drop("place", "freed")
+    return _upto(cold, [F.col("archived_at").asc(), F.col("id").asc()], lambda total: total - F.lit(cap_bytes), batch).drop("place", "freed")
 
 
 def move(src: DataFrame, dst: DataFrame, ids: DataFrame, now: str | None = None) -> tuple[DataFrame, DataFrame]:

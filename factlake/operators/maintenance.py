@@ -17,14 +17,14 @@ def rotate(log: DataFrame, cutoff: str) -> DataFrame:
 def rebase(cursors: DataFrame, dropped: DataFrame) -> DataFrame:
     """Cursors (session_id, log_line) moved back by the dropped lines (line_no) before them."""
     d = dropped.select("line_no").distinct()
-    # points of both on one line, counted by a range-partitioned running sum of dropped lines in blocks
+    # whole blocks of lines before a cursor's by a running sum over blocks, the rest within its own block
     block = 4096
-    per = d.groupBy(F.floor(F.col("line_no") / block).alias("blk")).agg(F.count("*").alias("c"))
-    whole = per.select("blk", F.coalesce(F.sum("c").over(W.orderBy("blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_blk"), "c")
     lines = cursors.select("log_line").distinct().withColumn("blk", F.floor(F.col("log_line") / block))
+    per = d.groupBy(F.floor(F.col("line_no") / block).alias("blk")).agg(F.count("*").alias("c")).unionByName(lines.select("blk", F.lit(0).cast("long").alias("c")))
+    per = per.groupBy("blk").agg(F.sum("c").alias("c"))
+    prior = per.select("blk", F.coalesce(F.sum("c").over(W.orderBy("blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("prior"))
     inside = lines.join(d.withColumn("blk", F.floor(F.col("line_no") / block)), "blk").where("line_no < log_line").groupBy("log_line").agg(F.count("*").alias("inside"))
-    prior = lines.join(whole.withColumnRenamed("blk", "b2"), F.col("b2") <= F.col("blk"), "left").groupBy("log_line", "blk").agg(F.max_by(F.when(F.col("b2") == F.col("blk"), F.col("before_blk")).otherwise(F.col("before_blk") + F.col("c")), "b2").alias("prior"))
-    out = cursors.join(prior, "log_line", "left").join(inside, "log_line", "left")
+    out = cursors.withColumn("blk", F.floor(F.col("log_line") / block)).join(prior, "blk", "left").join(inside, "log_line", "left")
     return out.select("session_id", (F.col("log_line") - F.coalesce("prior", F.lit(0)) - F.coalesce("inside", F.lit(0))).cast("long").alias("log_line"))
 
 

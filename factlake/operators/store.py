@@ -48,15 +48,19 @@ def versions(ev: DataFrame) -> DataFrame:
 
 
 def classified(ev: DataFrame) -> DataFrame:
-    """Events with what each did: stored, revived, restated (metadata changed) or repeated."""
+    """Events with what each did: stored, revived, restated (metadata changed) or repeated.
+
+    Generic sources, the large ones, revive nothing and are looked at fact by fact: no window holds such a source.
+    """
     w = W.partitionBy("source").orderBy("seq")
     own = W.partitionBy("source", "id").orderBy("seq")
-    new = F.row_number().over(own) == 1
-    x = ev.withColumn("is_new", new).withColumn("news", F.sum(F.when(F.col("is_new"), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    x = x.withColumn("seen", F.lag("news").over(own))
-    closed = ~F.col("source").isin(*GENERIC) & (F.col("news") > F.col("seen"))
-    changed = F.lag("metadata").over(own) != F.col("metadata") if "metadata" in ev.columns else F.lit(False)
-    return x.withColumn("event", F.when(F.col("is_new"), "stored").when(closed, "revived").when(changed, "restated").otherwise("repeated")).drop("is_new", "news", "seen")
+    generic = F.col("source").isin(*GENERIC)
+    changed = ~F.col("metadata").eqNullSafe(F.lag("metadata").over(own)) if "metadata" in ev.columns else F.lit(False)
+    x = ev.withColumn("is_new", F.row_number().over(own) == 1).withColumn("changed", changed)
+    s = x.where(~generic).withColumn("news", F.sum(F.when(F.col("is_new"), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    s = s.withColumn("closed", F.col("news") > F.lag("news").over(own)).drop("news")
+    x = s.unionByName(x.where(generic).withColumn("closed", F.lit(False)))
+    return x.withColumn("event", F.when(F.col("is_new"), "stored").when(F.col("closed"), "revived").when(F.col("changed"), "restated").otherwise("repeated")).drop("is_new", "closed", "changed")
 
 
 def live(v: DataFrame) -> DataFrame:
@@ -65,7 +69,7 @@ def live(v: DataFrame) -> DataFrame:
 
 
 def at(v: DataFrame, instant: Column | str) -> DataFrame:
-    """Versions that held at an instant; both bounds reach the scan as pushed filters."""
+    """Versions that held at an instant. Over stored versions both bounds are pushed to the scan; over folded events they are filters after it."""
     t = F.lit(instant).cast("timestamp") if isinstance(instant, str) else instant
     return v.where((F.col("recorded_at") <= t) & (F.col("superseded_at").isNull() | (F.col("superseded_at") > t)))
 

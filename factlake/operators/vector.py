@@ -5,10 +5,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Queries that are sent to every task.
+SENT_QUERIES = 1000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -19,16 +25,68 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot / n).otherwise(0.0)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, theta: float = 0.0) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, theta: float = 0.0, identity: tuple[dict | None, dict] | None = None) -> DataFrame:
     """(qid, id, score, rank): each query's nearest vectors, exactly. Needs (id, vec) and (qid, qvec).
 
-    Every vector is compared with every query: Spark sends a side that it knows to be small to all tasks and pairs
-    partitions else. The limit by rank is pushed below the exchange, so only each partition's best k of a query move.
+    Up to ``SENT_QUERIES`` queries are sent to every task, which multiplies blocks of vectors with them and keeps each
+    query's best k; only these move. More queries go in slices of as many, one pass over the vectors each. A vector whose
+    length is 0 or whose dimension isn't the query's has cosine 0. ``identity`` (stored, configured) is checked first.
     """
-    both = vectors.join(queries, F.lit(True), "cross")
-    scored = both.select("qid", "id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine(F.col("vec"), F.col("qvec")))), 6).alias("score")).where(F.col("score") >= theta)
+    if identity is not None:
+        require_identity(*identity)
+    rows = queries.select("qid", "qvec").limit(SENT_QUERIES + 1).collect()
+    if len(rows) <= SENT_QUERIES:
+        found = _nearest(vectors, rows, queries, k, theta)
+    else:
+        n = -(-queries.count() // SENT_QUERIES) * 2  # twice the slices, so that hashing overfills none
+        found = None
+        for part in range(n):
+            own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == part).select("qid", "qvec").collect()
+            one = _nearest(vectors, own, queries, k, theta)
+            found = one if found is None else found.unionByName(one)
     w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest(vectors: DataFrame, rows: list, queries: DataFrame, k: int, theta: float) -> DataFrame:
+    """(qid, id, score): each task's best vectors of each query, with all that may tie with the last."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    qid, key = queries.schema["qid"].dataType, vectors.schema["id"].dataType
+    sent = vectors.sparkSession.sparkContext.broadcast([(r["qid"], np.asarray(r["qvec"] if r["qvec"] is not None else [], np.float64)) for r in rows])
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_type(qid)
+        by: dict[int, list[int]] = {}
+        for i, (_, v) in enumerate(sent.value):
+            by.setdefault(len(v), []).append(i)
+        blocks = {d: (np.array(at), unit(np.stack([sent.value[i][1] for i in at]))) for d, at in by.items()}
+        best: list[list] = [[] for _ in sent.value]  # (score, id) of each query
+        for b in batches:
+            col = b.column(1)
+            sizes = np.diff(col.offsets.to_numpy())
+            flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            start = np.cumsum(sizes) - sizes
+            for d, (at, q) in blocks.items():
+                score = np.zeros((len(at), len(b)))
+                same = np.flatnonzero(sizes == d)
+                if len(same) and d:
+                    score[:, same] = q @ unit(flat[start[same][:, None] + np.arange(d)]).T
+                score = np.clip(score, 0, 1)
+                for i, s in zip(at, score):
+                    last = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -1.0
+                    best[i] += [(float(s[x]), b.column(0)[int(x)].as_py()) for x in np.flatnonzero(s >= max(last, theta) - 2e-6)]
+                    if len(best[i]) > 20 * k + 1000:
+                        floor = sorted((s for s, _ in best[i]), reverse=True)[k - 1] - 2e-6
+                        best[i] = [x for x in best[i] if x[0] >= floor]
+        out = [(sent.value[i][0], x, s) for i, own in enumerate(best) for s, x in own]
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], to_arrow_type(key)), pa.array([o[2] for o in out], pa.float64())], ["qid", "id", "score"])
+
+    schema = T.StructType([T.StructField("qid", qid), T.StructField("id", key), T.StructField("score", T.DoubleType())])
+    return vectors.where("vec IS NOT NULL").select("id", "vec").mapInArrow(run, schema).withColumn("score", F.round("score", 6)).where(F.col("score") >= theta)
 
 
 def require_identity(stored: dict | None, configured: dict) -> None:
