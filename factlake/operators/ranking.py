@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factlake.functions import text as X
+
 BOOST, QUARANTINE = 0.10, 3
 CHRONIC_MIN, CHRONIC_RATE, CHRONIC_PENALTY = 8, 0.10, 0.20
 
@@ -32,6 +34,18 @@ def adjust(hits: DataFrame, stats: DataFrame) -> DataFrame:
     return kept.withColumn("score", s).withColumn("rank", F.row_number().over(w)).select("qid", "id", "score", "rank")
 
 
+def injected(pool: DataFrame, k: int, theta: float) -> DataFrame:
+    """The first k of a ranked pool (qid, id, score, rank) that reach the threshold; none for k of 0 or less."""
+    w = W.partitionBy("qid").orderBy("rank")
+    return pool.where(F.col("score") >= theta).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def context(hits: DataFrame, clip: int) -> DataFrame:
+    """(qid, context) of hits (qid, rank, score, text): clipped facts under one heading."""
+    line = F.concat(F.lit("- "), X.clip(F.col("text"), clip), F.format_string("  (relevance %.2f)", "score"))
+    return hits.groupBy("qid").agg(F.concat(F.lit("Relevant memory:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n")).alias("context"))
+
+
 def verdict() -> Column:
     """What a fact's cost has bought."""
     return F.when(quarantined(), "quarantined").when(F.col("referenced") > 0, "valuable").when(F.col("injected") >= 3, "wasteful").otherwise("watching")

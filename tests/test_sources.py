@@ -109,3 +109,61 @@ def test_memory_end_to_end(spark, tmp_path):
     prompts = spark.createDataFrame([(1, "how does the gateway deploy"), (2, "thanks!")], "qid long, query string")
     assert [r.qid for r in m.context(prompts).collect()] == [1]
     assert m.chain(b"k").count() == 3
+
+
+def test_log_as_it_is_written(spark, tmp_path):
+    """Candidates as arrays, lines numbered by their place, malformed ones skipped, records made from a pool and read back."""
+    lines = ['{"ts":"2024-01-01T00:00:00+00:00","session_id":"s","query":"q","tier":"tier2","injected_ids":["a"],"scores":[0.9],"candidates":[["a",0.9,1,12],["b",0.4,0,7],["bad"],["c","x",0,1]]}',
+             "no json", '{"ts":"2024-01-02T00:00:00+00:00","session_id":"t","query":"r","candidates":[]}', '{"session_id":"s","ts":"2024-01-03T00:00:00+00:00","query":"z","candidates":[["a",0.5,0,12]]}']
+    (tmp_path / "log.jsonl").write_text("\n".join(lines) + "\n")
+    got = tables.retrieval_log(spark, str(tmp_path / "log.jsonl"))
+    rows = {(r.session_id, r.line_no, c.id, c.score, c.injected, c.tokens) for r in got.collect() for c in r.candidates}
+    assert rows == {("s", 0, "a", 0.9, 1, 12), ("s", 0, "b", 0.4, 0, 7), ("s", 3, "a", 0.5, 0, 12)} and got.count() == 3
+    from factlake.operators import ledger
+
+    assert ledger.ingest(got).count() == 3
+    pool = spark.createDataFrame([(1, 'x"y', 0.91234, 1, "text of some length"), (1, "z", 0.2, 2, "t")], "qid long, id string, score double, rank int, text string")
+    prompts = spark.createDataFrame([(1, "s", 'say "hi"'), (2, "s", "none")], "qid long, session_id string, query string")
+    tables.write_log(tables.log_records(pool, pool.where("rank = 1").select("qid", "id"), prompts, "2024-01-04T00:00:00Z"), str(tmp_path / "own"))
+    back = {r["query"]: r for r in tables.retrieval_log(spark, str(tmp_path / "own")).collect()}
+    assert [tuple(c) for c in back['say "hi"'].candidates] == [('x"y', 0.9123, 1, 4), ("z", 0.2, 0, 1)] and back['say "hi"'].injected_ids == ['x"y'] and back["none"].candidates == []
+    assert [r.line_no for r in tables.newest(spark, str(tmp_path / "log.jsonl"), len(lines[3]) + 10).collect()] == [3]
+
+
+def test_tiers_and_the_stored_chain(spark, tmp_path):
+    m = Memory(spark, config.load(overrides={"data_dir": str(tmp_path / "m")}))
+    for k in range(6):
+        m.remember(f"the service number {k} lives in cluster {'abcdef'[k]}", topic="ops", at=f"2024-01-0{k + 1} 00:00:00")
+    key = b"key"
+    assert m.seal(key) == 6 and m.seal(key) == 0
+    ids = [r.id for r in m.versions().orderBy("first_seq").collect()]
+    pick = lambda *n: spark.createDataFrame([(ids[x],) for x in n], "id string")
+    assert m.archive(pick(0, 1, 2), "2024-02-01 00:00:00") == 3 and m.archive(pick(3), "2024-02-02 00:00:00") == 1
+    assert m.restore(pick(1, 5)) == 1 and m.health()["versions"] == 3 and m.cold().count() == 3
+    assert m.verify(key)["problems"] == {"missing or in the other tier": 3}  # not sealed yet
+    assert m.seal(key) == 5 and m.verify(key) == {"n": 11, "bad": 0, "first_bad": None, "problems": {}}
+    assert m.purge(10**9) == 0 and m.purge(1, "2024-03-01 00:00:00") == 3 and m.cold().count() == 0
+    assert m.seal(key) == 3 and m.verify(key)["problems"] == {} and m.status()["moves"] == {"archived": 4, "restored": 1, "purged": 3}
+    assert m.versions_full().count() == 3
+    m.reindex()
+    m.archive(pick(4))
+    m.remember("a new service lives nowhere yet")
+    m.keep_index()
+    assert {r.id for r in m.index().collect()} == {r.id for r in m.versions().collect()}
+    steps = m.maintain(spark.createDataFrame([], "memory_id string, injected long, referenced long, ignored long, contradicted long, last_referenced timestamp"), key)
+    assert [s[1] for s in steps] == ["ok"] * len(steps), steps
+
+
+def test_evidence_comes_before_the_threshold(spark, tmp_path):
+    m = Memory(spark, config.load(overrides={"data_dir": str(tmp_path / "m")}))
+    for t in ("alpha beta gamma delta epsilon", "alpha beta gamma zeta eta theta", "alpha other words here", "nothing in common at all", "still more text without it"):
+        m.remember(t)
+    prompts = spark.createDataFrame([(1, "alpha beta gamma delta")], "qid long, query string")
+    plain = m.search(prompts, 3, 0.0).orderBy("rank").collect()
+    assert len(plain) == 3 and m.search(prompts, 0).count() == 0 and m.search(prompts, -1).count() == 0
+    second, cut = plain[1], (plain[1].score + plain[2].score) / 2
+    stats = spark.createDataFrame([(plain[0].id, 9, 0, 5, 4, 1), (plain[2].id, 3, 3, 0, 0, 1)], "memory_id string, injected long, referenced long, ignored long, contradicted long, tokens long")
+    best = m.search(prompts, 1, cut, stats=stats).collect()
+    assert [r.id for r in best] == [second.id]  # the first is quarantined, so the pool's next takes its place
+    low = m.search(prompts, 3, plain[2].score + 0.05, stats=stats).collect()
+    assert plain[2].id in {r.id for r in low}  # evidence lifts it above the threshold
