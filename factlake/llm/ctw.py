@@ -41,8 +41,8 @@ from factlake.llm._common import buffers, chunks, done, lean, mix, no_clash, wri
 DEPTH, ROOT = 6, 3
 #: Grams of a model that is sent to every task, 11 bytes each.
 SENT = 2_000_000
-#: Grams that a task holds before it adds them up.
-HELD = 12_000_000
+#: Grams of chunks that a task holds, or as many as it has found so far, before it adds them up.
+HELD = 1_500_000
 _UNIT = 65536.0
 _HALF = float(np.log(0.5))
 _LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
@@ -98,25 +98,27 @@ def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     if not len(g):
         return g, n
     edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    return g[edge], np.add.reduceat(n, edge)
+    return g[edge], np.add.reduceat(n, edge, dtype=np.int64)
 
 
 def distinct(columns: Iterator[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
     """All grams of texts, ascending, and how often each occurs."""
-    held, rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    total = (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = 0
     for col in columns:
         data, offs = buffers(col)
         for i, j in chunks(offs):
-            c = np.sort(codes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+            c = codes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            c.sort()
             if not len(c):
                 continue
             edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            held.append((c[edge], np.diff(np.concatenate([edge, [len(c)]]))))
+            held.append((c[edge], np.diff(np.append(edge, len(c))).astype(np.int32)))
             rows += len(edge)
-            if rows > HELD:
-                held = [_add(held)]
-                rows = len(held[0][0]) // 2
-    return _add(held)
+            if rows > max(HELD, len(total[0])):
+                total, held, rows = _add([total, *held]), [], 0
+    return _add([total, *held])
 
 
 def _split(g: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
