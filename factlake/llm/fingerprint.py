@@ -7,11 +7,15 @@ sketch of a whole equals the merged sketches of its parts. They estimate
 * resemblance (Jaccard): the share of the union's k smallest that both have;
 * containment of a in b: ``resemblance * |a or b| / |a|`` with the counts so estimated.
 
-``query`` sketches every document, merges the sketches by source within each scan task before anything is shuffled, and
-estimates how each document relates to the merged sketch of its source.
+``query`` sketches every document and looks for every document's near ones: all whose estimated resemblance is at least
+``NEAR``, of any source. Documents of equal sketches are one group, known by its least doc_id, and are compared once.
+Candidates share one of ``BANDS`` keys, each the smallest hashes of all shingles under ``ROWS`` permutations: a pair of
+resemblance 0.6 is one with 97 of 100 chances, and more alike ones more surely. Documents are also held against the
+merged sketch of their source, which tells a document that makes up much of its source; of a large source a document is
+a part too small for any sketch of fixed size, and the estimates are 0.
 
 Defined results: a null or empty text, or one without a word, has an empty sketch, count 0, resemblance 0 and
-containment 0. A text of fewer words than a shingle has one shingle: all its words. Texts are hashed whole. Repeated
+containment 0, and nothing is near it; neither is anything near a row without doc_id. A text of fewer words than a shingle has one shingle: all its words. Texts are hashed whole. Repeated
 rows each get their row and change no merged sketch. A null source is a source of its own. Other columns are ignored.
 """
 
@@ -25,11 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm._common import buffers, chunks, distinct_per_doc, lean, lists, ngrams, no_clash, words, written
+from factlake.llm import jaccard
+from factlake.llm._common import buffers, chunks, distinct_per_doc, lean, lists, mix, ngrams, no_clash, words, written
 
 K, SHINGLE = 128, 5
-#: Sources whose sketches are sent to every task (1 KB each); beyond, Spark joins by shuffling.
-SENT_SOURCES = 20_000
+NEAR, BANDS, ROWS = 0.6, 8, 2
+#: Sources whose sketches (1 KB each), and near documents which, are sent to every task; beyond, Spark joins by shuffling.
+SENT_SOURCES, SENT_NEAR = 20_000, 1_000_000
 _SPACE = float(2**63)
 
 
@@ -77,7 +83,9 @@ def merge(sketches_df: DataFrame, by: str, k: int = K) -> DataFrame:
 
     schema = f"{by} string, merged array<long>"
     parts = no_clash(sketches_df, by, "sketch").withColumn(by, F.col(by).cast("string")).mapInArrow(lean(fold), schema)
-    return parts.groupBy(by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("merged")))), 1, k).alias("merged"))
+    # a tree of two levels: no row gathers the sketches of more than 64 or a 64th of all tasks
+    some = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("merged")))), 1, k).alias("merged")
+    return parts.groupBy(by, (F.spark_partition_id() % 64).alias("branch")).agg(some).groupBy(by).agg(some)
 
 
 def distinct_count(s: Column, k: int = K) -> Column:
@@ -102,17 +110,110 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, 0.0).otherwise(F.least(F.lit(1.0), share))
 
 
+_rng = np.random.Generator(np.random.PCG64(41))
+_ADD, _TIMES = (_rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+
+
+def band_keys(g: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """BANDS keys of each document with a shingle, from its distinct hashes (documents in order)."""
+    start = (np.cumsum(size) - size)[size > 0]
+    out = np.zeros((len(start), BANDS), np.uint64)
+    for r in range(BANDS * ROWS):
+        h = (g + _ADD[r]) * _TIMES[r]
+        h ^= h >> np.uint64(29)
+        least = np.minimum.reduceat(h, start) if len(start) else h[:0]
+        out[:, r // ROWS] = mix(out[:, r // ROWS] * np.uint64(0xD6E8FEB86659FD93) + least + np.uint64(r + 1))
+    return (out >> np.uint64(1)).astype(np.int64)
+
+
+def scan(df: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
+    """(doc_id, source, sketch, key, bands): the key tells equal sketches; it and the bands are null for an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = buffers(pc.utf8_lower(b.column(2)))
+            for i, j in chunks(offs):
+                h, doc, _, _ = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                g, owner = ngrams(h, doc, j - i, n)
+                g, owner = distinct_per_doc((g >> np.uint64(1)).astype(np.int64), owner)
+                size = np.bincount(owner, minlength=j - i)
+                bands = np.zeros((j - i, BANDS), np.int64)
+                bands[size > 0] = band_keys(g.view(np.uint64), size)
+                use = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size) < k
+                counts = np.minimum(size, k)
+                total = np.zeros(int(use.sum()) + 1, np.uint64)
+                np.cumsum(mix(g[use].view(np.uint64)), out=total[1:])
+                edge = np.concatenate([[0], np.cumsum(counts)])
+                key = (mix(total[edge[1:]] - total[edge[:-1]] ^ counts.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+                part = b.slice(i, j - i)
+                keep = pa.array(np.where(size > 0, key, 0), mask=size == 0)
+                all_ = lists(pa.array(bands.ravel()), np.full(j - i, BANDS))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(pa.array(g[use]), counts), keep, all_], ["doc_id", "source", "sketch", "key", "bands"])
+
+    return no_clash(df, "doc_id", "source", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(lean(run), "doc_id long, source string, sketch array<long>, key long, bands array<long>")
+
+
+def _compared(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, float, float]:
+    """Resemblance, containment of a in b and of b in a, as the columns below estimate them."""
+    both = np.union1d(a, b)[:k]
+    common = np.intersect1d(a, b, assume_unique=True)
+    share = np.count_nonzero(common <= both[-1]) / len(both)
+
+    def count(s: np.ndarray) -> float:
+        return float(len(s)) if len(s) < k else (k - 1) / (float(s[-1]) / _SPACE)
+
+    n = count(both)
+    return share, min(1.0, share * n / count(a)), min(1.0, share * n / count(b))
+
+
+def near(scanned: DataFrame, k: int = K, least: float = NEAR) -> DataFrame:
+    """(a, b, resemblance, a_in_b, b_in_a) of groups of equal sketches, by their keys."""
+    spark = scanned.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reps = scanned.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+    each = reps.select("key", F.posexplode("bands").alias("band", "value"))
+    pairs = written(each.select(F.col("key").alias("a"), "band", "value").join(each.select(F.col("key").alias("b"), "band", "value"), ["band", "value"]).where("a < b").select("a", "b").distinct(), "fingerprint-pairs")
+    placed = jaccard.placed_pairs(pairs, parts)
+    needs = placed.select("part", F.explode(F.array("a", "b")).alias("key")).distinct().join(reps.select("key", "rep"), "key")
+    sent = scanned.where("key IS NOT NULL").withColumnRenamed("doc_id", "rep").join(jaccard.small(written(needs, "fingerprint-needs")), ["key", "rep"])
+    null = F.lit(None)
+    rows = sent.select("part", F.col("key").alias("a"), null.cast("long").alias("b"), F.col("sketch").alias("codes")).unionByName(placed.select("part", "a", "b", null.cast("array<long>").alias("codes")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for key, partners in jaccard.by_first(batches, held, lambda c: c.values.to_numpy()):
+            found = [(key, int(p), *_compared(held[key], held[int(p)], k)) for p in partners]
+            found = [f for f in found if f[2] >= least]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b", "resemblance", "a_in_b", "b_in_a"])
+
+    return jaccard.moved(rows, parts).mapInArrow(lean(run), "a long, b long, resemblance double, a_in_b double, b_in_a double")
+
+
 def query(df: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, source, sketch, n_distinct, source_distinct, resemblance, containment) of all documents.
+    """All documents: (doc_id, source, sketch, n_distinct, source_distinct, resemblance, containment, group_id, near, best).
 
-    Documents are never shuffled: each source has one merged sketch of 8k bytes. These are a table in the shared folder
-    and go to every task while they are few; Spark joins by shuffling else.
+    ``group_id`` is the least doc_id with an equal sketch, and ``near`` lists the other groups that are near, the most
+    alike first: (group_id, resemblance, containment of the document in it). ``best`` is the resemblance of the nearest
+    document, so 1 for one with a copy, and 0 where nothing is near; ``resemblance`` and ``containment`` are against the
+    source. Documents are never shuffled while the lists are few.
     """
-    own = sketches(df, k, n)
-    whole = written(merge(sketches(df, k, n), "source", k).withColumnRenamed("source", "of"), "fingerprint-sources")
+    scanned = written(scan(df, k, n), "fingerprint-scan")
+    groups = scanned.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("group_id"), F.count_distinct("doc_id").alias("members"))
+    pairs = written(near(scanned, k), "fingerprint-near")
+    ends = pairs.select("a", "b", "resemblance", F.col("a_in_b").alias("c")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "resemblance", F.col("b_in_a").alias("c")))
+    ends = ends.join(groups.select(F.col("key").alias("b"), "group_id"), "b").groupBy(F.col("a").alias("key")).agg(F.collect_list(F.struct((-F.col("resemblance")).alias("r"), "group_id", "c")).alias("x"))
+    ordered = F.transform(F.array_sort("x"), lambda x: F.struct(x["group_id"].alias("group_id"), (-x["r"]).alias("resemblance"), x["c"].alias("containment")))
+    lists_ = groups.join(ends, "key", "left").where("x IS NOT NULL OR members > 1").select("key", "group_id", "members", ordered.alias("near"))
+    lists_ = written(lists_, "fingerprint-lists")
+    if lists_.count() <= SENT_NEAR and pairs.limit(SENT_NEAR + 1).count() <= SENT_NEAR:
+        lists_ = F.broadcast(lists_)
+    whole = written(merge(scanned, "source", k).withColumnRenamed("source", "of"), "fingerprint-sources")
     if whole.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES:
         whole = F.broadcast(whole)
-    both = own.join(whole, F.col("source").eqNullSafe(F.col("of")), "left")
-    a, b = F.col("sketch"), F.col("merged")
-    return both.select("doc_id", "source", "sketch", distinct_count(a, k).alias("n_distinct"), distinct_count(b, k).alias("source_distinct"),
-                       resemblance(a, b, k).alias("resemblance"), containment(a, b, k).alias("containment"))
+    both = scanned.join(lists_, (scanned.key == lists_.key) & F.col("doc_id").isNotNull(), "left").join(whole, F.col("source").eqNullSafe(F.col("of")), "left")
+    a, b, first = F.col("sketch"), F.col("merged"), F.get("near", F.lit(0))
+    copied = F.coalesce(F.col("members") > 1, F.lit(False))
+    return both.select("doc_id", "source", "sketch", distinct_count(a, k).alias("n_distinct"), distinct_count(b, k).alias("source_distinct"), resemblance(a, b, k).alias("resemblance"), containment(a, b, k).alias("containment"),
+                       F.coalesce("group_id", F.when(F.size("sketch") > 0, F.col("doc_id"))).alias("group_id"), F.coalesce("near", F.array().cast("array<struct<group_id:bigint,resemblance:double,containment:double>>")).alias("near"),
+                       F.when(copied, 1.0).otherwise(F.coalesce(first["resemblance"], F.lit(0.0))).alias("best"))

@@ -290,7 +290,7 @@ def _unpack(batches: Iterator[pa.RecordBatch], points: int = 0) -> list[np.ndarr
     return [np.concatenate(o) for o in out]
 
 
-def _moved(df: DataFrame, parts: int) -> DataFrame:
+def moved(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("part"))
 
 
@@ -561,7 +561,7 @@ def _unpacked(raw: pa.Buffer) -> np.ndarray:
     return low.view("<i8").ravel() | high << np.int64(8 * width)
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """df marked to be broadcast if it is short enough."""
     return F.broadcast(df) if df.limit(SENT_KEYS + 1).count() <= SENT_KEYS else df
 
@@ -609,17 +609,22 @@ def _sets_of(df: DataFrame, needs: DataFrame, reps: DataFrame, n: int) -> DataFr
     return own if few else own.drop("part").join(needs.withColumnRenamed("key", "a"), "a").select(*names)
 
 
-def _verify(docs: DataFrame, scanned: DataFrame, pairs: DataFrame, reps: DataFrame, t: float, n: int, parts: int) -> DataFrame:
-    """(a, b, overlap, size_a, size_b) of the pairs that reach the threshold, each verified once."""
+def placed_pairs(pairs: DataFrame, parts: int) -> DataFrame:
+    """(part, a, b): where each pair of keys is verified, so that a record is sent to few parts however many partners it has."""
     ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     hub = ends.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("hub"))
-    hub = _small(written(hub, "jaccard-hubs"))
+    hub = small(written(hub, "jaccard-hubs"))
     grouped = (pairs.join(hub.withColumnRenamed("key", "a").withColumnRenamed("hub", "ha"), "a")
                .join(hub.withColumnRenamed("key", "b").withColumnRenamed("hub", "hb"), "b")
                .select("a", "b", F.least("ha", "hb").alias("g")))
     split = grouped.groupBy("g").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("splits"))
-    split = _small(written(split.where("splits > 1"), "jaccard-splits"))
-    placed = written(grouped.join(split, "g", "left").withColumn("splits", F.coalesce("splits", F.lit(1))).select(F.pmod(F.xxhash64("g", F.pmod(F.hash("a"), F.col("splits"))), F.lit(parts)).cast("int").alias("part"), "a", "b"), "jaccard-placed")
+    split = small(written(split.where("splits > 1"), "jaccard-splits"))
+    return written(grouped.join(split, "g", "left").withColumn("splits", F.coalesce("splits", F.lit(1))).select(F.pmod(F.xxhash64("g", F.pmod(F.hash("a"), F.col("splits"))), F.lit(parts)).cast("int").alias("part"), "a", "b"), "jaccard-placed")
+
+
+def _verify(docs: DataFrame, scanned: DataFrame, pairs: DataFrame, reps: DataFrame, t: float, n: int, parts: int) -> DataFrame:
+    """(a, b, overlap, size_a, size_b) of the pairs that reach the threshold, each verified once."""
+    placed = placed_pairs(pairs, parts)
     near = written(_near(placed, scanned, reps, t, parts), "jaccard-near")
     done(placed)
     needs = near.select("part", F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -628,7 +633,7 @@ def _verify(docs: DataFrame, scanned: DataFrame, pairs: DataFrame, reps: DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
         found: list[tuple] = []
-        for k, partners in _by_first(batches, sets, _unpacked):
+        for k, partners in by_first(batches, sets, lambda c: _unpacked(c.as_buffer())):
             own = sets[k]
             near = np.array([len(sets[int(p)]) for p in partners])
             flat = np.concatenate([sets[int(p)] for p in partners])
@@ -641,10 +646,10 @@ def _verify(docs: DataFrame, scanned: DataFrame, pairs: DataFrame, reps: DataFra
             cols = [np.concatenate(c).astype(np.int64) for c in zip(*found)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "overlap", "size_a", "size_b"])
 
-    return _moved(rows, parts).mapInArrow(lean(run), "a long, b long, overlap long, size_a long, size_b long")
+    return moved(rows, parts).mapInArrow(lean(run), "a long, b long, overlap long, size_a long, size_b long")
 
 
-def _by_first(batches: Iterator[pa.RecordBatch], sets: dict[int, np.ndarray], read) -> Iterator[tuple[int, np.ndarray]]:
+def by_first(batches: Iterator[pa.RecordBatch], sets: dict[int, np.ndarray], read) -> Iterator[tuple[int, np.ndarray]]:
     """Fills sets from the rows (part, key, null, codes) and gives each first key of the pairs (part, a, b, null) with up to 2000 partners."""
     firsts, seconds = [], []
     for x in batches:
@@ -652,7 +657,7 @@ def _by_first(batches: Iterator[pa.RecordBatch], sets: dict[int, np.ndarray], re
         own = x.filter(whole)
         for k, c in zip(own.column("a").to_pylist(), own.column("codes")):
             if k not in sets:
-                sets[k] = read(c.as_buffer())
+                sets[k] = read(c)
         rest = x.filter(pc.invert(whole))
         firsts.append(rest.column("a").to_numpy())
         seconds.append(rest.column("b").to_numpy())
@@ -686,7 +691,8 @@ def _near(placed: DataFrame, scanned: DataFrame, reps: DataFrame, t: float, part
                 part = b.column("part")[0] if part is None and len(b) else part  # all rows of a task have the same
                 yield b
 
-        def read_one(raw: pa.Buffer) -> tuple[int, dict[int, np.ndarray]]:
+        def read_one(c: pa.Scalar) -> tuple[int, dict[int, np.ndarray]]:
+            raw = c.as_buffer()
             counts = _from_sketch(raw.slice(4)).astype(np.int16)
             return int.from_bytes(raw.slice(0, 4).to_pybytes(), "big"), {len(counts): counts}
 
@@ -696,7 +702,7 @@ def _near(placed: DataFrame, scanned: DataFrame, reps: DataFrame, t: float, part
                 by[ranges] = np.minimum(at(k, 2 * ranges).reshape(-1, 2).sum(axis=1, dtype=np.int16), 3)  # as if counted so
             return by[ranges]
 
-        for k, partners in _by_first(seen(), sketches, read_one):
+        for k, partners in by_first(seen(), sketches, read_one):
             size, by = sketches[k]
             ranges = max(by)
             theirs = np.array([max(sketches[int(p)][1]) for p in partners])
@@ -712,7 +718,7 @@ def _near(placed: DataFrame, scanned: DataFrame, reps: DataFrame, t: float, part
                 n = int(keep.sum())
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * n, pa.int32()), pa.array(np.full(n, k)), pa.array(partners[keep])], ["part", "a", "b"])
 
-    return _moved(rows, parts).mapInArrow(lean(run), "part int, a long, b long")
+    return moved(rows, parts).mapInArrow(lean(run), "part int, a long, b long")
 
 
 def records(df: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame]:
@@ -732,9 +738,9 @@ def records(df: DataFrame, t: float = THRESHOLD, n: int = N) -> tuple[DataFrame,
     copied = reps.where("n > 1").orderBy("key").select("key", "rep").limit(SENT_KEYS + 1).toArrow()
     known = [copied.column(c).to_numpy() if copied.num_rows <= SENT_KEYS else np.zeros(0, np.int64) for c in ("key", "rep")]
     sent = spark.sparkContext.broadcast((rarity, *known))
-    shared = _shared(_moved(_prefixes(docs, sent, n, t, parts), parts), t, parts)
-    met = written(_pointed(_moved(shared, parts), t, parts), "jaccard-met")
-    pairs = written(_candidates(_moved(met, parts), t), "jaccard-pairs")
+    shared = _shared(moved(_prefixes(docs, sent, n, t, parts), parts), t, parts)
+    met = written(_pointed(moved(shared, parts), t, parts), "jaccard-met")
+    pairs = written(_candidates(moved(met, parts), t), "jaccard-pairs")
     done(met)
     verified = written(_verify(docs, scanned, pairs, reps.select("key", "rep"), t, n, parts), "jaccard-verified")
     done(pairs)
@@ -798,7 +804,7 @@ def keep_one(df: DataFrame, t: float = THRESHOLD, n: int = N) -> DataFrame:
     first = placed.groupBy("part").agg(F.min("doc_id").alias("first"))
     gone = written(placed.join(first, "part").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("first")).alias("stays")).where("NOT stays").select("doc_id"), "jaccard-gone")
     often = written(no_clash(df, "doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-often")
-    left = df.join(_small(gone), "doc_id", "left_anti")
-    once = left.join(_small(often), "doc_id", "left_anti")
-    more = left.join(_small(often), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    left = df.join(small(gone), "doc_id", "left_anti")
+    once = left.join(small(often), "doc_id", "left_anti")
+    more = left.join(small(often), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(more).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -36,7 +36,7 @@ def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches of all documents, with estimates against their source's merged sketch."""
+    """Sketches of all documents, with the documents near each and estimates against them."""
     return fingerprint.query(read(spark, sf_dir, "documents"))
 
 

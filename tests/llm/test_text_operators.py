@@ -538,6 +538,39 @@ def test_sketches_merge_and_estimate(spark):
     assert fingerprint.query(odd_rows(spark)).count() == 8 and fingerprint.query(df.limit(0)).count() == 0
 
 
+def test_near_documents_equal_brute_force(spark):
+    """Every document against every other by its sketch: those at 0.6 and above are found, with the columns' estimates."""
+    rng = random.Random(12)
+    texts = [[rng.choice([f"w{i}" for i in range(500)]) for _ in range(rng.choice([3, 60, 400]))] for _ in range(40)]
+    for t in texts[:25]:
+        for edits in (1, 3, 12):
+            own = list(t)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(99)}"
+            texts.append(own)
+    rows = [(i, "s", " ".join(t)) for i, t in enumerate(texts)] + [(900, "s", " ".join(texts[0])), (901, "t", None), (902, None, ""), (None, "t", " ".join(texts[1])), (0, "s", " ".join(texts[0]))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("key", F.lit("clash"))
+    out = fingerprint.query(df).collect()
+    assert len(out) == len(rows)
+    by = {r.doc_id: r for r in out if r.doc_id is not None}
+    groups = {}
+    for r in by.values():
+        if r.sketch:
+            groups.setdefault(tuple(r.sketch), []).append(r.doc_id)
+    reps = {min(ids): np.array(s) for s, ids in groups.items()}
+    hit = want = 0
+    for i, a in reps.items():
+        got = {x.group_id: (x.resemblance, x.containment) for x in by[i].near}
+        slow = {j: fingerprint._compared(a, b, fingerprint.K)[:2] for j, b in reps.items() if j != i}
+        slow = {j: v for j, v in slow.items() if v[0] >= fingerprint.NEAR}
+        assert set(got) <= set(slow) and all(got[j] == pytest.approx(slow[j]) for j in got)
+        hit, want = hit + len(got), want + len(slow)
+    assert want > 60 and hit >= 0.95 * want
+    assert by[900].group_id == 0 and by[900].best == 1 and by[901].group_id is None and by[901].near == [] and by[902].best == 0
+    x = spark.createDataFrame([(by[0].sketch, by[40].sketch)], "a array<long>, b array<long>").select(fingerprint.resemblance(F.col("a"), F.col("b")).alias("r"), fingerprint.containment(F.col("a"), F.col("b")).alias("c")).first()
+    assert (x.r, x.c) == pytest.approx(fingerprint._compared(np.array(by[0].sketch), np.array(by[40].sketch), fingerprint.K)[:2])
+
+
 def test_sketch_holds_the_smallest_hashes():
     text = " ".join(f"w{i}" for i in range(700))
     small, n = fingerprint.sketch_batch(pa.array([text, None, text]), 16, 3)
