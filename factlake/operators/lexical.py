@@ -11,6 +11,7 @@ by generations: a changed or removed document adds a row, and of each document t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -241,14 +242,21 @@ def search(docs: DataFrame, prompts: DataFrame, k: int = K, theta: float = THETA
 
 def index_rows(docs: DataFrame, generation: int = 0, stemmed: bool = False) -> DataFrame:
     """(id, generation, gone, dl, terms, tfs, words) of documents (id, text): what an index keeps of each."""
-    own = indexed(docs, stemmed)
-    terms = F.array_sort(F.array_distinct("terms"))
-    # sorted tokens stand in runs, so counts are differences of places: no comparison of each term with each token
-    tokens = F.array_sort("terms")
-    tfs = F.transform(terms, lambda t: F.array_position(tokens, t))
-    out = own.select("id", F.lit(generation).alias("generation"), F.lit(False).alias("gone"), "dl", terms.alias("terms"), tfs.alias("at"), *([F.array_distinct(X.tokenize(F.col("text"))).alias("words")] if stemmed else [F.lit(None).cast("array<string>").alias("words")]))
-    ends = F.concat(F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))), F.array((F.col("dl") + 1).cast("long")))
-    return out.withColumn("tfs", F.zip_with("at", ends, lambda a, b: (b - a).cast("int"))).select("id", "generation", "gone", "dl", "terms", "tfs", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for x in b.column(1).to_pylist():
+                words = X.PATTERN.findall(x.lower()) if x else []
+                own = index_words(x or "") if stemmed else words
+                count = sorted(Counter(own).items())
+                rows.append((len(own), [t for t, _ in count], [n for _, n in count], list(dict.fromkeys(words)) if stemmed else None))
+            dl, terms, tfs, words = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dl, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.string()))], ["id", "dl", "terms", "tfs", "words"])
+
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T._parse_datatype_string("dl int, terms array<string>, tfs array<int>, words array<string>").fields])
+    out = docs.select("id", "text").mapInArrow(run, schema)
+    return out.select("id", F.lit(generation).alias("generation"), F.lit(False).alias("gone"), "dl", "terms", "tfs", "words")
 
 
 def upkeep(index: DataFrame, changed: DataFrame | None = None, removed: DataFrame | None = None, stemmed: bool = False) -> DataFrame:

@@ -38,6 +38,13 @@ def backups_to_drop(backups: DataFrame, keep: int = 5) -> DataFrame:
     return backups.withColumn("n", F.row_number().over(W.orderBy(F.desc("made_at"), F.desc("name")))).where(F.col("n") > keep).drop("n")
 
 
+def status(health: DataFrame, cold: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: counts of the store (live, versions), of the cold tier (id) and of the log's candidates by outcome."""
+    c = F.col("injected") & F.col("outcome").isNotNull()
+    log = candidates.agg(F.count("*").alias("candidates"), F.count_if("injected").alias("injected"), *[F.count_if(c & (F.col("outcome") == o)).alias(o) for o in ("referenced", "ignored", "contradicted")])
+    return health.select("live", "versions").crossJoin(cold.agg(F.count("*").alias("archived"))).crossJoin(log)
+
+
 def needs_backup(fingerprint: str, last: str | None) -> bool:
     """Whether the store has changed since its last backup."""
     return fingerprint != last

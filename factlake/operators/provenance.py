@@ -95,3 +95,8 @@ def cross_check(expected: DataFrame, hot: DataFrame, cold: DataFrame) -> DataFra
 def uncovered(rows: DataFrame, chain: DataFrame) -> DataFrame:
     """Rows without any event; they get genesis events."""
     return rows.join(chain.select(F.col("memory_id").alias("id")).distinct(), "id", "left_anti")
+
+
+def genesis(rows: DataFrame, chain: DataFrame) -> DataFrame:
+    """(event, memory_id, lineage, source, payload_hash) for rows (id, lineage, source, payload_hash) that no event covers."""
+    return uncovered(rows, chain).select(F.lit("genesis").alias("event"), F.col("id").alias("memory_id"), "lineage", "source", "payload_hash")

@@ -57,7 +57,7 @@ def roi(stats: DataFrame, texts: DataFrame | None = None, top: int = 12) -> Data
     out = best.select("memory_id", "injected", "referenced", "ignored", "contradicted", "tokens", F.round(F.col("referenced") / F.greatest("injected", F.lit(1)), 6).alias("ref_rate"), verdict().alias("verdict"))
     if texts is None:
         return out
-    return out.join(texts.select(F.col("id").alias("memory_id"), F.left("text", F.lit(60)).alias("label")), "memory_id", "left").withColumn("label", F.coalesce("label", "memory_id"))
+    return out.join(texts.select(F.col("id").alias("memory_id"), F.left("text", F.lit(60)).alias("label")), "memory_id", "left").withColumn("label", F.coalesce("label", F.col("memory_id").cast("string")))
 
 
 def roi_totals(stats: DataFrame) -> DataFrame:

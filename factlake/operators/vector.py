@@ -89,6 +89,17 @@ def _nearest(vectors: DataFrame, rows: list, queries: DataFrame, k: int, theta:
     return vectors.where("vec IS NOT NULL").select("id", "vec").mapInArrow(run, schema).withColumn("score", F.round("score", 6)).where(F.col("score") >= theta)
 
 
+def lookup(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of known ids."""
+    return vectors.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def scroll(vectors: DataFrame, after, size: int) -> DataFrame:
+    """The next page of rows in the order of id: those behind ``after`` (None for the first page). The bound is pushed to the scan."""
+    own = vectors if after is None else vectors.where(F.col("id") > F.lit(after))
+    return own.orderBy("id").limit(size)
+
+
 def require_identity(stored: dict | None, configured: dict) -> None:
     """Raises unless provider, model and dimension are those that the vectors were made with."""
     if stored is not None and {k: stored.get(k) for k in ("provider", "model", "dim")} != {k: configured.get(k) for k in ("provider", "model", "dim")}:

@@ -461,6 +461,144 @@ def hourly_events(spark, sf):
     return hourly(table(spark, sf, "events")).select("event_type", when("hour").alias("hour"), "n", F.round("total", 4).alias("total"))
 
 
+# ways beside the plain ones -------------------------------------------------------------------------------------------------
+
+_STATS_DOCS = "SELECT doc_id AS memory_id, 10 AS injected, quality * 5 AS referenced, (1 - quality) * 5 AS ignored, toxic * 6 AS contradicted FROM labels"
+
+
+@query(_search_sql(_DOCS, _BENCH + " WHERE item_id % 4 = 0") + f""", pool_ AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, p) AS prior FROM s QUALIFY prior <= 12), st AS (SELECT memory_id, max(injected) AS injected, max(referenced) AS referenced, max(contradicted) AS contradicted FROM ({_STATS_DOCS}) GROUP BY memory_id),
+j AS (SELECT p.*, st.* FROM pool_ p LEFT JOIN st ON st.memory_id = p.id WHERE injected IS NULL OR NOT {_QUAR}),
+b AS (SELECT *, CASE WHEN injected IS NULL THEN score ELSE least(1.0, greatest(0.0, score + 0.1::DOUBLE * (referenced - contradicted) / greatest(injected, 3))) END AS s0 FROM j),
+r AS (SELECT qid, id, prior, round(CASE WHEN injected >= 8 AND referenced / injected::DOUBLE < 0.1 THEN greatest(0.0, s0 - 0.2) ELSE s0 END, 6) AS score FROM b)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, prior) AS rank FROM r WHERE score >= 0.35 QUALIFY rank <= 3""")
+def context_injection(spark, sf):
+    """Pool, evidence, threshold, k: in this order."""
+    q, t = F.col("quality"), F.col("toxic")
+    stats = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("memory_id")).agg(F.lit(10).alias("injected"), F.max(q * 5).alias("referenced"), F.max((1 - q) * 5).alias("ignored"), F.max(t * 6).alias("contradicted"))
+    pool = lexical.search(_docs(spark, sf), V.benchmark_prompts(spark, sf).where("qid % 4 = 0"), 12, 0.0)
+    return _long(ranking.injected(ranking.adjust(pool, stats), 3, THETA))
+
+
+_COLD_SCORE = f"SELECT q.qid, d.id, round(len(list_intersect(q.terms, d.have)) / len(q.terms)::DOUBLE, 6) AS score FROM q CROSS JOIN (SELECT id, list_distinct({TOK('text')}) AS have FROM cold_docs) d WHERE len(q.terms) > 0"
+
+
+@query(f"WITH q AS (SELECT qid, {_FIRST.format('t')}[1:32] AS terms FROM (SELECT item_id AS qid, {TOK('text')} AS t FROM benchmark WHERE item_id % 10 = 0)), cold_docs AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 5 = 0) SELECT * FROM ({_COLD_SCORE}) WHERE score > 0")
+def search_cold(spark, sf):
+    return lexical.search_cold(_docs(spark, sf).where("id % 5 = 0"), V.benchmark_prompts(spark, sf).where("qid % 10 = 0"))
+
+
+_AT = f"recorded_at <= TIMESTAMP '{AS_OF}' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '{AS_OF}')"
+
+
+@query(_search_sql("SELECT id, text, recorded_at, superseded_at FROM versions WHERE first_seq % 7 <> 0", _BENCH, _AT, head=STORE_SQL + ",") + f""", hot AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, p) AS rank FROM s WHERE score >= 0.35 QUALIFY rank <= 3),
+cold_docs AS (SELECT id, text FROM versions WHERE first_seq % 7 = 0 AND {_AT}), both_ AS (SELECT * FROM hot UNION ALL SELECT *, 1000000 FROM ({_COLD_SCORE}) WHERE score >= 0.35)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank, id) AS rank FROM both_ QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, both_.rank, id) <= 3""")
+def as_of_search_tiers(spark, sf):
+    """As of an instant, over the hot and the cold tier."""
+    from factlake.api import as_of_hits
+
+    v, t = V.memories(spark, sf), F.lit(AS_OF).cast("timestamp")
+    where = (F.col("recorded_at") <= t) & (F.col("superseded_at").isNull() | (F.col("superseded_at") > t))
+    return _long(as_of_hits(v.where("first_seq % 7 <> 0"), store.at(v.where("first_seq % 7 = 0"), AS_OF), V.benchmark_prompts(spark, sf), 3, THETA, where, False))
+
+
+def _terms(docs: str) -> str:
+    return f"SELECT id, t, list_sort(list_distinct(t)) AS terms FROM (SELECT id, {TOK('text')} AS t FROM ({docs}))"
+
+
+@query(f"WITH k AS ({_terms('SELECT doc_id AS id, CASE WHEN doc_id % 15 = 1 THEN left(text, 40) ELSE text END AS text FROM documents WHERE doc_id % 10 = 0 OR doc_id % 15 = 1 OR doc_id % 21 <> 2')}) SELECT id, len(t) AS dl, len(terms) AS n_terms, terms[1] AS first_term, len(list_filter(t, lambda x: x = terms[1])) AS first_tf FROM k")
+def index_upkeep(spark, sf):
+    """An index of nine documents in ten, then a generation of new, changed and removed ones: as if built anew."""
+    d = _docs(spark, sf)
+    first = lexical.index_rows(d.where("id % 10 <> 0"))
+    changed = d.where("id % 10 = 0 OR id % 15 = 1").withColumn("text", F.when(F.col("id") % 15 == 1, F.left("text", F.lit(40))).otherwise(F.col("text")))
+    index = first.unionByName(lexical.upkeep(first, changed, d.where("id % 21 = 2")))
+    return lexical.current(index).select("id", F.col("dl").cast("long").alias("dl"), F.size("terms").cast("long").alias("n_terms"), F.get("terms", F.lit(0)).alias("first_term"), F.coalesce(F.get("tfs", F.lit(0)), F.lit(0)).cast("long").alias("first_tf"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS line_no, CAST(event_id % 50 AS VARCHAR) AS memory_id, round(value / (value + 10), 4) AS score, event_id % 3 = 0 AS injected, 10 + event_id % 40 AS tokens FROM events WHERE event_id % 13 <> 0")
+def ingest_log(spark, sf):
+    """Log lines as they are written, candidates as arrays, some broken."""
+    from factlake.sources import tables
+
+    e = table(spark, sf, "events")
+    text = F.concat(F.lit('{"ts":"2024-01-01T00:00:00Z","session_id":"'), F.col("user_id").cast("string"), F.lit('","query":"q","candidates":[["'), (F.col("event_id") % 50).cast("string"), F.lit('",'), F.round(F.col("value") / (F.col("value") + 10), 4).cast("string"),
+                    F.lit(","), F.when(F.col("event_id") % 3 == 0, "1").otherwise("0"), F.lit(","), (10 + F.col("event_id") % 40).cast("string"), F.lit('],["no score"],["x","y",1,2]]}'))
+    lines = e.select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 13 == 0, F.lit("{broken")).otherwise(text).alias("value"))
+    return ledger.ingest(tables.records(lines)).select("session_id", "line_no", "memory_id", "score", "injected", "tokens")
+
+
+@query(f"WITH {LOG_SQL} SELECT memory_id, injected, referenced, ignored, contradicted, tokens, round(referenced / greatest(injected, 1)::DOUBLE, 6) AS ref_rate, {_VERDICT} AS verdict, coalesce(left(d.text, 60), CAST(memory_id AS VARCHAR)) AS label FROM (SELECT * FROM stats ORDER BY tokens DESC, memory_id LIMIT 12) s LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0) d ON d.doc_id = s.memory_id")
+def roi_labels(spark, sf):
+    return ranking.roi(ledger.stats(V.log_candidates(spark, sf)), _docs(spark, sf).where("id % 2 = 0"))
+
+
+_AGAIN = "ev AS (SELECT seq, source, id, 'a' AS metadata FROM store_events UNION ALL SELECT seq + 1000000, source, id, CASE WHEN seq % 20 = 0 THEN 'b' ELSE 'a' END FROM store_events WHERE seq % 10 = 0)"
+
+
+@query(f"WITH {STORE_SQL}, {_AGAIN}, e AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY seq) = 1 AS is_new, lag(metadata) OVER (PARTITION BY source, id ORDER BY seq) AS before FROM ev), n AS (SELECT *, sum(is_new::INT) OVER (PARTITION BY source ORDER BY seq) AS news FROM e), s AS (SELECT *, lag(news) OVER (PARTITION BY source, id ORDER BY seq) AS seen FROM n) "
+       "SELECT seq, id, CASE WHEN is_new THEN 'stored' WHEN source NOT IN ('', 'mcp:remember') AND news > seen THEN 'revived' WHEN metadata <> before THEN 'restated' ELSE 'repeated' END AS event FROM s")
+def restated_events(spark, sf):
+    """Facts that are stored again, some with other metadata."""
+    ev = V.store_events(spark, sf).select("seq", "source", "text", "ts", "id", F.lit("a").alias("metadata"))
+    again = ev.where("seq % 10 = 0").withColumn("metadata", F.when(F.col("seq") % 20 == 0, "b").otherwise("a")).withColumn("seq", F.col("seq") + 1000000)
+    return store.classified(ev.unionByName(again)).select("seq", "id", "event")
+
+
+@query(f"WITH {STORE_SQL}, {_KINDS}, c AS (SELECT row_number() OVER (ORDER BY seq) AS n FROM chain), k AS (SELECT n AS seq, n % 101 <> 0 AS own_ok, n = 1 OR (n - 1) % 211 <> 7 AS link_ok FROM c WHERE n % 211 <> 7) SELECT * FROM k WHERE NOT (own_ok AND link_ok)")
+def provenance_tampered(spark, sf):
+    """A chain with changed contents and deleted entries: each changed entry, and each that follows a deleted one."""
+    c = _chain(spark, sf)
+    bad = c.withColumn("payload_hash", F.when(F.col("seq") % 101 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("payload_hash"))).where("seq % 211 <> 7")
+    return provenance.verify_chain(bad, KEY).where("NOT (own_ok AND link_ok)")
+
+
+@query(f"WITH {STORE_SQL}, k AS (SELECT id, first_seq AS f, first_seq % 50 <> 3 AND first_seq % 70 <> 6 AS hot, first_seq % 50 = 3 AND first_seq % 4 <> 3 AS cold FROM versions), p AS (SELECT id AS memory_id, CASE WHEN f % 60 = 5 THEN CASE WHEN hot OR cold THEN 'no events' END WHEN f % 50 = 4 THEN CASE WHEN hot OR cold THEN 'purged but present' END "
+       "WHEN (f % 50 = 3 AND NOT cold) OR (f % 50 <> 3 AND NOT hot) THEN 'missing or in the other tier' WHEN f % 50 <> 3 AND f % 97 = 0 THEN 'content differs' END AS problem FROM k) SELECT * FROM p WHERE problem IS NOT NULL")
+def provenance_problems(spark, sf):
+    """Stored, archived and purged facts against both tiers: all kinds of problems."""
+    v = V.memories(spark, sf).select("id", "first_seq", _payload().alias("payload_hash"))
+    known = v.where("first_seq % 60 <> 5").select(F.col("id").alias("memory_id"), "payload_hash", "first_seq")
+    moved = F.when(F.col("first_seq") % 50 == 3, "archived").when(F.col("first_seq") % 50 == 4, "purged")
+    chain = known.withColumn("event", F.lit("stored")).withColumn("seq", F.col("first_seq") * 2).unionByName(known.withColumn("event", moved).withColumn("seq", F.col("first_seq") * 2 + 1).where("event IS NOT NULL"))
+    hot = v.where("first_seq % 50 <> 3 AND first_seq % 70 <> 6").select("id", F.when(F.col("first_seq") % 97 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("payload_hash")).alias("payload_hash"))
+    return provenance.cross_check(provenance.expected_state(chain), hot, v.where("first_seq % 50 = 3 AND first_seq % 4 <> 3").select("id", "payload_hash"))
+
+
+@query(f"WITH {STORE_SQL}, {_KINDS} SELECT 'genesis' AS event, id AS memory_id, lineage, source, {_HASH} AS payload_hash FROM versions WHERE id NOT IN (SELECT id FROM chain WHERE seq % 3 <> 0)")
+def genesis_events(spark, sf):
+    rows = V.memories(spark, sf).select("id", "lineage", "source", _payload().alias("payload_hash"))
+    return provenance.genesis(rows, _chain(spark, sf).where("ord % 3 <> 0"))
+
+
+@query(f"WITH {STORE_SQL} SELECT id, CASE WHEN first_seq % 6 = 0 AND first_seq % 12 <> 0 THEN 'cold' ELSE 'hot' END AS tier FROM versions")
+def archive_restore(spark, sf):
+    """Every sixth version goes to the cold tier, and half of these come back."""
+    v = V.memories(spark, sf).select("id", "first_seq", "text")
+    empty = v.limit(0).withColumn("archived_at", F.lit(None).cast("timestamp"))
+    hot, cold = archival.move(v, empty, v.where("first_seq % 6 = 0").select("id"), NOW)
+    cold, hot = archival.move(cold, hot, v.where("first_seq % 12 = 0").select("id"))
+    return hot.select("id", F.lit("hot").alias("tier")).unionByName(cold.select("id", F.lit("cold").alias("tier")))
+
+
+@query(f"WITH {STORE_SQL}, {LOG_SQL} SELECT (SELECT count(*) FILTER (superseded_at IS NULL) FROM versions) AS live, (SELECT count(*) FROM versions) AS versions, (SELECT count(*) FROM versions WHERE first_seq % 9 = 0) AS archived, count(*) AS candidates, count(*) FILTER (injected) AS injected, "
+       "count(*) FILTER (injected AND outcome = 'referenced') AS referenced, count(*) FILTER (injected AND outcome = 'ignored') AS ignored, count(*) FILTER (injected AND outcome = 'contradicted') AS contradicted FROM log")
+def status(spark, sf):
+    v = V.memories(spark, sf)
+    return maintenance.status(store.health(v), v.where("first_seq % 9 = 0"), V.log_candidates(spark, sf))
+
+
+@query("SELECT vec_id AS id, label, len(embedding) AS dim FROM embeddings WHERE vec_id % 9 = 0")
+def vector_lookup(spark, sf):
+    e = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    return vector.lookup(e, e.where("id % 9 = 0")).select("id", "label", F.size("embedding").cast("long").alias("dim"))
+
+
+@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id > 120 ORDER BY vec_id LIMIT 64")
+def vector_scroll(spark, sf):
+    return vector.scroll(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), 120, 64).select("id", "label")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -231,8 +231,60 @@ def test_manifest(spark):
 def test_queries_run(spark, sf, name):
     df = Q.queries()[name](spark, sf)
     assert len(set(df.columns)) == len(df.columns)
+    df.write.format("noop").mode("overwrite").save()
 
 
 def test_scan_is_pruned_and_filtered(spark, sf):
     plan = Q.queries()["quarantine"](spark, sf)._jdf.queryExecution().toString()
     assert "props" not in plan.split("ReadSchema")[-1]
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_all_ways_of_search_agree(spark, monkeypatch, stemmed):
+    """Prompts sent as a matrix, prompts joined by shuffling, and a kept index of two generations give the same rows."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(60)] + ["Running", "runs", "the", "a", "日本"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 30, 200])))) for i in range(120)] + [(200, None), (201, "the the the")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    prompts = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(rng.choice([1, 5, 40])))) for k in range(12)] + [(50, ""), (51, "unheard"), (52, None)], "qid long, query string")
+    where = F.col("id") % 7 != 3
+    take = lambda d, w=where: sorted(tuple(r) for r in lexical.search(d, prompts, 5, 0.1, w, stemmed, 9).collect())
+    want = take(docs)
+    first = lexical.index_rows(docs.where("id < 80"), 0, stemmed).unionByName(lexical.index_rows(docs.where("id BETWEEN 20 AND 30").withColumn("text", F.lit("other words")), 0, stemmed).withColumn("id", F.col("id") + 1000))
+    index = first.unionByName(lexical.upkeep(first, docs.where("id >= 80"), first.where("id > 1000").select("id"), stemmed))
+    assert take(lexical.current(index)) == want and len(want) > 30
+    monkeypatch.setattr(lexical, "SENT_PROMPTS", 2)
+    assert take(docs) == want and take(lexical.current(index)) == want
+    assert take(docs.limit(0)) == [] and lexical.search(docs, prompts, 0).count() == 0
+
+
+def test_vectors_in_slices(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 8))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, [0.0] * 8), (901, None), (902, [1.0] * 3)], "id long, vec array<double>")
+    queries = spark.createDataFrame([(f"q{i}", v[i].tolist()) for i in range(9)] + [("zero", [0.0] * 8)], "qid string, qvec array<double>")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(f"q{i}", int(j)) for i in range(9) for j in np.argsort(-np.clip(unit @ unit[i], 0, 1), kind="stable")[:4]}
+    for most in (1000, 3):
+        monkeypatch.setattr(vector, "SENT_QUERIES", most)
+        got = vector.knn(vectors, queries, 4, 0.001).collect()
+        assert {(r.qid, r.id) for r in got} == want
+    with pytest.raises(ValueError):
+        vector.knn(vectors, queries, 4, identity=({"provider": "a", "model": "m", "dim": 8}, {"provider": "b", "model": "m", "dim": 8}))
+    page = vector.scroll(vectors, None, 2).collect() + vector.scroll(vectors, 1, 2).collect()
+    assert [r.id for r in page] == [0, 1, 2, 3] and vector.lookup(vectors, spark.createDataFrame([(5,), (7777,)], "id long")).count() == 1
+
+
+def test_speakers_tags_and_restating(spark):
+    row = spark.createDataFrame([("mcp:remember", ["a ", "", None]), ("session:x", []), ("native:n", None), ("else", ["b"])], "source string, tags array<string>")
+    got = [(r.s, r.t) for r in row.select(X.speaker(F.col("source")).alias("s"), X.tags(F.col("tags"), listed=True).alias("t")).collect()]
+    assert got == [("assistant", ["a"]), ("session", []), ("import", None), ("unknown", ["b"])]
+    ev = store.events(spark.createDataFrame([(1, "mcp:remember", "t", "2024-01-01", "m"), (2, "mcp:remember", "t", "2024-01-02", "n"), (3, "mcp:remember", "t", "2024-01-03", "n"), (4, "s", "u", "2024-01-04", None), (5, "s", "u", "2024-01-05", "m")], "seq long, source string, text string, ts string, metadata string"))
+    assert [r.event for r in store.classified(ev).orderBy("seq").collect()] == ["stored", "restated", "repeated", "stored", "restated"]
+    old = spark.createDataFrame([("i", "t", "m", "s", "2024-01-01", "2024-01-02")], "id string, text string, metadata string, source string, created_at string, updated_at string")
+    v = store.from_v1(old.withColumn("created_at", F.col("created_at").cast("timestamp"))).first()
+    assert v.lineage == "i" and v.recorded_at == v.valid_from and v.superseded_at is None
