@@ -171,8 +171,10 @@ def near(scanned: DataFrame, k: int = K, least: float = NEAR) -> DataFrame:
     spark = scanned.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reps = scanned.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    each = reps.select("key", F.posexplode("bands").alias("band", "value"))
-    pairs = written(each.select(F.col("key").alias("a"), "band", "value").join(each.select(F.col("key").alias("b"), "band", "value"), ["band", "value"]).where("a < b").select("a", "b").distinct(), "fingerprint-pairs")
+    # bands' keys are made with the band's number, so equal ones are of the same band; one shuffle brings each one's groups together
+    met = reps.select("key", F.explode("bands").alias("value")).groupBy("value").agg(F.collect_set("key").alias("keys")).where(F.size("keys") > 1)
+    pairs = met.select("keys", F.explode("keys").alias("a")).select("a", F.explode("keys").alias("b")).where("a < b").distinct()
+    pairs = written(pairs, "fingerprint-pairs")
     placed = jaccard.placed_pairs(pairs, parts)
     needs = placed.select("part", F.explode(F.array("a", "b")).alias("key")).distinct().join(reps.select("key", "rep"), "key")
     sent = scanned.where("key IS NOT NULL").withColumnRenamed("doc_id", "rep").join(jaccard.small(written(needs, "fingerprint-needs")), ["key", "rep"])
