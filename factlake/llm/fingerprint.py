@@ -7,15 +7,18 @@ sketch of a whole equals the merged sketches of its parts. They estimate
 * resemblance (Jaccard): the share of the union's k smallest that both have;
 * containment of a in b: ``resemblance * |a or b| / |a|`` with the counts so estimated.
 
-``query`` sketches every document and looks for every document's near ones: all whose estimated resemblance is at least
-``NEAR``, of any source. Documents of equal sketches are one group, known by its least doc_id, and are compared once.
-Candidates share one of ``BANDS`` keys, each the smallest hashes of all shingles under ``ROWS`` permutations: a pair of
-resemblance 0.6 is one with 97 of 100 chances, and more alike ones more surely. Documents are also held against the
-merged sketch of their source, which tells a document that makes up much of its source; of a large source a document is
-a part too small for any sketch of fixed size, and the estimates are 0.
+``query`` sketches every document and puts near ones in classes: documents are near if their estimated resemblance is at
+least ``NEAR``, whatever their sources, and a class is what chains of near documents join. Documents of equal sketches
+are one group, known by its least doc_id. Candidates share one of ``BANDS`` keys, each the smallest hashes of all
+shingles under ``ROWS`` permutations: a pair of resemblance 0.6 is one with 97 of 100 chances, and more alike ones more
+surely. All candidates of a key are in one task, which holds each group against those that no chain has reached yet, so
+a class of m groups takes some m comparisons, not m^2 / 2, and the classes are those of all pairs; ``near`` lists these.
+Candidates whose rarest hashes differ can't be near and aren't compared. Documents are also held against the merged
+sketch of their source, which tells a document that makes up much of its source; of a large source a document is a part
+too small for any sketch of fixed size, and the estimates are 0.
 
 Defined results: a null or empty text, or one without a word, has an empty sketch, count 0, resemblance 0 and
-containment 0, and nothing is near it; neither is anything near a row without doc_id. A text of fewer words than a shingle has one shingle: all its words. Texts are hashed whole. Repeated
+containment 0, and is in no class; neither is a row without doc_id. A text of fewer words than a shingle has one shingle: all its words. Texts are hashed whole. Repeated
 rows each get their row and change no merged sketch. A null source is a source of its own. Other columns are ignored.
 """
 
@@ -34,7 +37,7 @@ from factlake.llm._common import buffers, chunks, distinct_per_doc, lean, lists,
 
 K, SHINGLE = 128, 5
 NEAR, BANDS, ROWS = 0.6, 8, 2
-#: Sources whose sketches (1 KB each), and near documents which, are sent to every task; beyond, Spark joins by shuffling.
+#: Sources whose sketches (1 KB each), and groups with company which, are sent to every task; beyond, Spark joins by shuffling.
 SENT_SOURCES, SENT_NEAR = 20_000, 1_000_000
 _SPACE = float(2**63)
 
@@ -166,56 +169,192 @@ def _compared(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, float, float
     return share, min(1.0, share * n / count(a)), min(1.0, share * n / count(b))
 
 
-def near(scanned: DataFrame, k: int = K, least: float = NEAR) -> DataFrame:
-    """(a, b, resemblance, a_in_b, b_in_a) of groups of equal sketches, by their keys."""
-    spark = scanned.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    reps = scanned.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+def _alike(a: np.ndarray, flat: np.ndarray, edge: np.ndarray, k: int) -> np.ndarray:
+    """Resemblances of a to the sketches that follow each other in flat."""
+    size = np.diff(edge)
+    at = np.searchsorted(a, flat)
+    same = a[np.minimum(at, len(a) - 1)] == flat
+    seen = np.concatenate([[0], np.cumsum(same)])
+    owner = np.repeat(np.arange(len(size)), size)
+    # a common hash's place in the union: those up to it on either side, common ones once
+    place = np.arange(len(flat)) - edge[owner] + at + 1 - (seen[:-1] - seen[edge[owner]])
+    common = seen[edge[1:]] - seen[edge[:-1]]
+    return np.bincount(owner[same & (place <= k)], minlength=len(size)) / np.minimum(k, len(a) + size - common)
+
+
+def _parted(own: list[np.ndarray], least: float) -> np.ndarray:
+    """A label for each sketch; those of different labels aren't near.
+
+    Near ones share ``least`` of the larger one's hashes, so one at least of as many of each one's rarest as leave fewer
+    than that share; such parts are labelled alike.
+    """
+    size = np.array([len(x) for x in own])
+    owner = np.repeat(np.arange(len(own)), size)
+    _, code, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    order = np.lexsort((code, n[code], owner))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    rare = order[place <= (size - np.ceil(least * size - 1e-9).astype(np.int64))[owner]]
+    rare = rare[np.lexsort((owner[rare], code[rare]))]
+    same = code[rare][1:] == code[rare][:-1]
+    a, b = owner[rare][:-1][same], owner[rare][1:][same]
+    label = np.arange(len(own))
+    while True:
+        new, low = label.copy(), np.minimum(label[a], label[b])
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _met(scanned: DataFrame, parts: int) -> DataFrame:
+    """(part, bucket, key): the groups that share a band, where two at least do; buckets of the same least key have the same part."""
     # bands' keys are made with the band's number, so equal ones are of the same band; one shuffle brings each one's groups together
-    met = reps.select("key", F.explode("bands").alias("value")).groupBy("value").agg(F.collect_set("key").alias("keys")).where(F.size("keys") > 1)
-    pairs = met.select("keys", F.explode("keys").alias("a")).select("a", F.explode("keys").alias("b")).where("a < b").distinct()
-    pairs = written(pairs, "fingerprint-pairs")
-    placed = jaccard.placed_pairs(pairs, parts)
-    needs = placed.select("part", F.explode(F.array("a", "b")).alias("key")).distinct().join(reps.select("key", "rep"), "key")
+    bands = scanned.where("key IS NOT NULL AND doc_id IS NOT NULL").select("key", F.explode("bands").alias("bucket"))
+    bands = bands.select(F.pmod("bucket", F.lit(parts)).cast("int").alias("part"), "bucket", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [(b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
+        bucket, key = (np.concatenate(c) for c in zip(*own)) if own else (np.zeros(0, np.int64),) * 2
+        order = np.lexsort((key, bucket))
+        bucket, key = bucket[order], key[order]
+        new = np.ones(len(key), np.bool_)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])
+        bucket, key = bucket[new], key[new]
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(np.append(start, len(key)))
+        to = np.repeat((mix(key[start].view(np.uint64)) % np.uint64(parts)).astype(np.int32), n)
+        use = np.repeat(n > 1, n)
+        yield pa.RecordBatch.from_arrays([pa.array(to[use]), pa.array(bucket[use]), pa.array(key[use])], ["part", "bucket", "key"])
+
+    return jaccard.moved(bands, parts).mapInArrow(lean(run), "part int, bucket long, key long")
+
+
+class _Near:
+    """The sketches of one task's groups, and which of them are known to be connected."""
+
+    def __init__(self, sketches_: list[np.ndarray], k: int, least: float) -> None:
+        self.sketches, self.k, self.least, self.up = sketches_, k, least, list(range(len(sketches_)))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def of(self, x: int, others: np.ndarray) -> np.ndarray:
+        own = [self.sketches[y] for y in others]
+        edge = np.concatenate([[0], np.cumsum([len(s) for s in own])])
+        return others[_alike(self.sketches[x], np.concatenate(own), edge, self.k) >= self.least]
+
+    def parts(self, bucket: np.ndarray) -> list[np.ndarray]:
+        """The bucket's parts of two or more that may be near each other."""
+        if len(bucket) <= 16:
+            return [bucket]
+        label = _parted([self.sketches[x] for x in bucket], self.least)
+        order = np.argsort(label, kind="stable")
+        return [p for p in np.split(bucket[order], np.flatnonzero(np.diff(label[order])) + 1) if len(p) > 1]
+
+    def connect(self, left: np.ndarray) -> None:
+        """Connects all of a part that a chain of near ones joins: each is held against those that aren't reached yet."""
+        todo = [int(left[0])]
+        while True:
+            roots = np.array([self.root(x) for x in left])
+            reached = np.isin(roots, [self.root(x) for x in todo])
+            todo += left[reached & ~np.isin(left, todo)].tolist()
+            left = left[~reached]
+            while todo and len(left):
+                x = todo.pop()
+                near_ = self.of(x, left)
+                if len(near_):
+                    for y in near_.tolist():
+                        self.up[self.root(y)] = self.root(x)
+                    now = np.array([self.root(y) for y in left]) == self.root(x)
+                    todo += left[now].tolist()
+                    left = left[~now]
+            if len(left) < 2:
+                return
+            todo = [int(left[0])]
+
+
+def _in_buckets(scanned: DataFrame, k: int, least: float, run, schema: str) -> DataFrame:
+    """run(near, keys, buckets) of each part's groups: the sketches of its keys, and buckets of places among them."""
+    parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = written(_met(scanned, parts), "fingerprint-met")
+    reps = scanned.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    needs = met.select("part", "key").distinct().join(reps, "key")
     sent = scanned.where("key IS NOT NULL").withColumnRenamed("doc_id", "rep").join(jaccard.small(written(needs, "fingerprint-needs")), ["key", "rep"])
     null = F.lit(None)
-    rows = sent.select("part", F.col("key").alias("a"), null.cast("long").alias("b"), F.col("sketch").alias("codes")).unionByName(placed.select("part", "a", "b", null.cast("array<long>").alias("codes")))
+    rows = sent.select("part", null.cast("long").alias("bucket"), "key", "sketch").unionByName(met.select("part", "bucket", "key", null.cast("array<long>").alias("sketch")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for key, partners in jaccard.by_first(batches, held, lambda c: c.values.to_numpy()):
-            found = [(key, int(p), *_compared(held[key], held[int(p)], k)) for p in partners]
-            found = [f for f in found if f[2] >= least]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b", "resemblance", "a_in_b", "b_in_a"])
+        places: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            whole = b.column("sketch").is_valid()
+            own, rest = b.filter(whole), b.filter(pc.invert(whole))
+            for key, s in zip(own.column("key").to_pylist(), own.column("sketch")):
+                if key not in held:
+                    held[key] = s.values.to_numpy()
+            places.append((rest.column("bucket").to_numpy(), rest.column("key").to_numpy()))
+        if held:
+            keys = np.sort(np.array(list(held), np.int64))
+            bucket, key = (np.concatenate(c) for c in zip(*places))
+            order = np.lexsort((key, bucket))
+            bucket, at = bucket[order], np.searchsorted(keys, key[order])
+            near_ = _Near([held[x] for x in keys.tolist()], k, least)
+            yield from run(near_, keys, np.split(at, np.flatnonzero(np.diff(bucket)) + 1))
+
+    return jaccard.moved(rows, parts).mapInArrow(lean(all_), schema)
+
+
+def near(scanned: DataFrame, k: int = K, least: float = NEAR) -> DataFrame:
+    """(a, b, resemblance, a_in_b, b_in_a) of all near groups of equal sketches, by their keys; m near ones give m (m - 1) / 2 rows."""
+
+    def run(near_: _Near, keys: np.ndarray, buckets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for bucket in buckets:
+            for part in near_.parts(bucket):
+                for i in range(len(part) - 1):
+                    found = [(keys[part[i]], keys[y], *_compared(near_.sketches[part[i]], near_.sketches[y], k)) for y in near_.of(part[i], part[i + 1 :])]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b", "resemblance", "a_in_b", "b_in_a"])
+
+    return _in_buckets(scanned, k, least, run, "a long, b long, resemblance double, a_in_b double, b_in_a double").distinct()
+
+
+def classes(scanned: DataFrame, k: int = K, least: float = NEAR) -> DataFrame:
+    """(key, least): the connected parts of ``near``, without its rows; groups that nothing is near are left out."""
+
+    def run(near_: _Near, keys: np.ndarray, buckets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for bucket in sorted(buckets, key=len, reverse=True):
+            for part in near_.parts(bucket):
+                near_.connect(part)
+        root = keys[[near_.root(x) for x in range(len(keys))]]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[root != keys]), pa.array(root[root != keys])], ["a", "b"])
 
-    return jaccard.moved(rows, parts).mapInArrow(lean(run), "a long, b long, resemblance double, a_in_b double, b_in_a double")
+    return jaccard.components(written(_in_buckets(scanned, k, least, run, "a long, b long"), "fingerprint-links"))
 
 
 def query(df: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
-    """All documents: (doc_id, source, sketch, n_distinct, source_distinct, resemblance, containment, group_id, near, best).
+    """All documents: (doc_id, source, sketch, n_distinct, source_distinct, resemblance, containment, group_id, class_id, class_size).
 
-    ``group_id`` is the least doc_id with an equal sketch, and ``near`` lists the other groups that are near, the most
-    alike first: (group_id, resemblance, containment of the document in it). ``best`` is the resemblance of the nearest
-    document, so 1 for one with a copy, and 0 where nothing is near; ``resemblance`` and ``containment`` are against the
-    source. Documents are never shuffled while the lists are few.
+    ``group_id`` is the least doc_id with an equal sketch. ``class_id`` is the least doc_id that a chain of near
+    documents leads to, and ``class_size`` the number of documents of that class: 1 where nothing is near, 0 for rows
+    without a doc_id or a word. ``resemblance`` and ``containment`` are against the source. Documents are never shuffled
+    while the list of those with company is short.
     """
     scanned = written(scan(df, k, n), "fingerprint-scan")
-    groups = scanned.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("group_id"), F.count_distinct("doc_id").alias("members"))
-    pairs = written(near(scanned, k), "fingerprint-near")
-    ends = pairs.select("a", "b", "resemblance", F.col("a_in_b").alias("c")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "resemblance", F.col("b_in_a").alias("c")))
-    ends = ends.join(groups.select(F.col("key").alias("b"), "group_id"), "b").groupBy(F.col("a").alias("key")).agg(F.collect_list(F.struct((-F.col("resemblance")).alias("r"), "group_id", "c")).alias("x"))
-    ordered = F.transform(F.array_sort("x"), lambda x: F.struct(x["group_id"].alias("group_id"), (-x["r"]).alias("resemblance"), x["c"].alias("containment")))
-    lists_ = groups.join(ends, "key", "left").where("x IS NOT NULL OR members > 1").select("key", "group_id", "members", ordered.alias("near"))
+    known = scanned.where("key IS NOT NULL AND doc_id IS NOT NULL").select("key", "doc_id").distinct()
+    placed = known.join(classes(scanned, k), "key", "left").select("key", "doc_id", F.coalesce("least", "key").alias("part"))
+    sizes = placed.groupBy("part").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("class_size")).where("class_size > 1")
+    lists_ = placed.groupBy("key", "part").agg(F.min("doc_id").alias("group_id")).join(sizes, "part").select("key", "group_id", "class_id", "class_size")
     lists_ = written(lists_, "fingerprint-lists")
-    if lists_.count() <= SENT_NEAR and pairs.limit(SENT_NEAR + 1).count() <= SENT_NEAR:
+    if lists_.count() <= SENT_NEAR:
         lists_ = F.broadcast(lists_)
     whole = written(merge(scanned, "source", k).withColumnRenamed("source", "of"), "fingerprint-sources")
     if whole.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES:
         whole = F.broadcast(whole)
     both = scanned.join(lists_, (scanned.key == lists_.key) & F.col("doc_id").isNotNull(), "left").join(whole, F.col("source").eqNullSafe(F.col("of")), "left")
-    a, b, first = F.col("sketch"), F.col("merged"), F.get("near", F.lit(0))
-    copied = F.coalesce(F.col("members") > 1, F.lit(False))
+    a, b, alone = F.col("sketch"), F.col("merged"), F.when(F.size("sketch") > 0, F.col("doc_id"))
     return both.select("doc_id", "source", "sketch", distinct_count(a, k).alias("n_distinct"), distinct_count(b, k).alias("source_distinct"), resemblance(a, b, k).alias("resemblance"), containment(a, b, k).alias("containment"),
-                       F.coalesce("group_id", F.when(F.size("sketch") > 0, F.col("doc_id"))).alias("group_id"), F.coalesce("near", F.array().cast("array<struct<group_id:bigint,resemblance:double,containment:double>>")).alias("near"),
-                       F.when(copied, 1.0).otherwise(F.coalesce(first["resemblance"], F.lit(0.0))).alias("best"))
+                       F.coalesce("group_id", alone).alias("group_id"), F.coalesce("class_id", alone).alias("class_id"), F.coalesce("class_size", F.when(alone.isNotNull(), 1).otherwise(0).cast("long")).alias("class_size"))

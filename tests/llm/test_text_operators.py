@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -558,19 +559,48 @@ def test_near_documents_equal_brute_force(spark):
         if r.sketch:
             groups.setdefault(tuple(r.sketch), []).append(r.doc_id)
     reps = {min(ids): np.array(s) for s, ids in groups.items()}
-    hit = want = 0
-    for i, a in reps.items():
-        got = {x.group_id: (x.resemblance, x.containment) for x in by[i].near}
-        slow = {j: fingerprint._compared(a, b, fingerprint.K)[:2] for j, b in reps.items() if j != i}
-        slow = {j: v for j, v in slow.items() if v[0] >= fingerprint.NEAR}
-        assert set(got) <= set(slow) and all(got[j] == pytest.approx(slow[j]) for j in got)
-        hit, want = hit + len(got), want + len(slow)
-    assert want > 60 and hit >= 0.95 * want
-    assert by[900].group_id == 0 and by[900].best == 1 and by[901].group_id is None and by[901].near == [] and by[902].best == 0
+    scanned = fingerprint.scan(df).cache()
+    of = {r.key: r.group_id for r in scanned.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("group_id")).collect()}
+    pairs = [(of[r.a], of[r.b], (r.resemblance, r.a_in_b), (r.resemblance, r.b_in_a)) for r in fingerprint.near(scanned).collect()]
+    got = {(i, j): x for i, j, x, _ in pairs} | {(j, i): x for i, j, _, x in pairs}
+    slow = {(i, j): fingerprint._compared(a, b, fingerprint.K)[:2] for i, a in reps.items() for j, b in reps.items() if i != j}
+    slow = {x: v for x, v in slow.items() if v[0] >= fingerprint.NEAR}
+    assert len(got) == 2 * len(pairs) and set(got) <= set(slow) and all(got[x] == pytest.approx(slow[x]) for x in got)
+    assert len(slow) > 60 and len(got) >= 0.95 * len(slow)
+    # classes: what chains of the pairs join
+    least = {i: i for i in reps}
+    while new := {i: m for i, j in got if (m := min(least[i], least[j])) < least[i]}:
+        least |= new
+    assert all(r.class_id == least[r.group_id] for r in by.values() if r.sketch) and len(set(least.values())) < len(reps)
+    sizes = Counter(r.class_id for r in by.values())
+    assert all(r.class_size == (sizes[r.class_id] if r.sketch else 0) for r in by.values())
+    assert by[900].group_id == 0 and by[900].class_id == 0 and by[901].group_id is None and by[901].class_id is None and by[902].class_size == 0
+    assert [(r.group_id, r.class_id, r.class_size) for r in out if r.doc_id is None] == [(None, None, 0)]
     x = spark.createDataFrame([(by[0].sketch, by[40].sketch)], "a array<long>, b array<long>").select(fingerprint.resemblance(F.col("a"), F.col("b")).alias("r"), fingerprint.containment(F.col("a"), F.col("b")).alias("c")).first()
     assert (x.r, x.c) == pytest.approx(fingerprint._compared(np.array(by[0].sketch), np.array(by[40].sketch), fingerprint.K)[:2])
 
 
+def test_classes_take_few_comparisons(monkeypatch):
+    """A bucket of copies with an edit each takes about one comparison a document, as does one of documents that merely share a passage."""
+    rng = np.random.default_rng(2)
+    draw = lambda n: rng.integers(0, 2**63 - 1, n)
+    base, passage = draw(110), draw(30)
+    near = [np.unique(np.concatenate([base, draw(18)])) for _ in range(300)]
+    apart = [np.unique(np.concatenate([passage, draw(98)])) for _ in range(300)]
+    own = near + apart
+    compared, of = [], fingerprint._Near.of
+    monkeypatch.setattr(fingerprint._Near, "of", lambda self, x, others: compared.append(len(others)) or of(self, x, others))
+    n = fingerprint._Near(own, fingerprint.K, fingerprint.NEAR)
+    for part in n.parts(np.arange(len(own))):
+        n.connect(part)
+    assert len({n.root(x) for x in range(300)}) == 1 and len({n.root(x) for x in range(300, 600)}) == 300
+    assert sum(compared) < 2000
+    rows = [own[i] for i in (0, 7, 350, 351)]
+    edge = np.cumsum([0, *map(len, rows)])
+    for x in (3, 300):
+        assert list(fingerprint._alike(own[x], np.concatenate(rows), edge, 128)) == pytest.approx([fingerprint._compared(own[x], r, 128)[0] for r in rows])
+
+
 def test_sketch_holds_the_smallest_hashes():
     text = " ".join(f"w{i}" for i in range(700))
     small, n = fingerprint.sketch_batch(pa.array([text, None, text]), 16, 3)
