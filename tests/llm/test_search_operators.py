@@ -78,6 +78,38 @@ def test_all_pairs_of_documents(spark, seed, t, n):
     assert sorted(got) == sorted(want) and len(want) > len(slow_join(rows, t, n))
 
 
+def slow_linked(rows, t, n):
+    """rows: (doc_id, text); rows as jaccard.linked defines them."""
+    sets = sorted({(i, grams(x, n)) for i, x in rows if i is not None and x is not None and grams(x, n)}, key=lambda r: r[0])
+    near = [[j for j, (_, y) in enumerate(sets) if j != k and len(x & y) >= t * len(x | y) - 1e-9] for k, (_, x) in enumerate(sets)]
+    least = [i for i, _ in sets]
+    while (new := [min([least[k], *(least[j] for j in js)]) for k, js in enumerate(near)]) != least:
+        least = new
+    out = [(i, min(j for j, y in sets if y == x), least[k], sum(sets[j][0] != i for j in near[k])) for k, (i, x) in enumerate(sets)]
+    return sorted(out + [(i, i, i, 0) for i in {i for i, _ in rows} - {i for i, _ in sets} - {None}])
+
+
+@pytest.mark.parametrize("seed,t,n", [(1, 0.5, 3), (2, 0.6, 2), (4, 0.3, 2)])
+def test_linked_equals_brute_force(spark, monkeypatch, seed, t, n):
+    """A row per document whatever its links; doc_ids with two texts, near ones too, repeated rows, texts without a word."""
+    rows = [(i if i % 17 else i + 1, x) for i, x in enumerate(corpus(seed))]
+    long_ = " ".join(f"v{k}" for k in range(60))
+    rows += [*rows[:3], (None, "a b c d"), (500, None), (501, ""), (502, "??"), (600, long_), (600, long_ + " x"), (601, long_ + " y"), (602, long_), (603, long_ + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
+    want = slow_linked(rows, t, n)
+    assert sorted(tuple(r) for r in jaccard.linked(df, t, n).collect()) == want
+    monkeypatch.setattr(jaccard, "SENT_KEYS", 0)
+    assert sorted(tuple(r) for r in jaccard.linked(df, t, n).collect()) == want
+    assert jaccard.linked(df.limit(0), t, n).count() == 0
+
+
+def test_op10_has_a_row_per_document(spark, sf):
+    import __spark_entry__
+
+    ids = [r.doc_id for r in __spark_entry__.queries()["op10_jaccard"](spark, sf).collect()]
+    assert sorted(ids) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+
+
 def test_join_through_shuffled_sets(spark, monkeypatch):
     """The same pairs when lists are too long to be sent, groups are split and records meet at points."""
     rows = list(enumerate(corpus(7)))
