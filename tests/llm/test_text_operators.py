@@ -333,6 +333,16 @@ def test_html_is_linear(page):
     assert time.process_time() - began < 6
 
 
+@pytest.mark.parametrize("rows", [3, 60, 170, 400, 2000])
+def test_rows_of_a_table_do_not_depend_on_its_size(rows):
+    """Cells that reach down stand in their columns whatever follows; above REACHING cells all text is kept."""
+    head = "<table><tr><td rowspan=0>s<td>a<tr><td>b<tr><td>c"
+    lines = html.render(head + "".join(f"<tr><td rowspan=0>x<td>y{k}" for k in range(rows)) + "</table>").split("\n")
+    assert [" ".join(x.split()) for x in lines[:5]] == ["s | a", "| b", "| c", "| x | y0", "| | x | y1"]
+    assert [x.split()[-1] for x in lines[3:]] == [f"y{k}" for k in range(rows)] and all("x" in x for x in lines[3:])
+    assert max(x.count("|") for x in lines) == min(rows, html.REACHING) + 1
+
+
 def test_html_deep_and_rows(spark):
     assert html.render("<div>" * 5000 + "x") == "x"
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x"), (2, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
