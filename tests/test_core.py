@@ -5,6 +5,9 @@ import hmac
 import random
 import sqlite3
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +90,22 @@ def test_gate(spark, prompt, skip):
     assert spark.createDataFrame([(prompt,)], "p string").select(X.skip_retrieval(F.col("p")).alias("s")).first().s is skip
 
 
+def test_gate_and_white_space_equal_their_sql(spark, tmp_path):
+    """Word ends, case and white space as the SQL's engine has them, beside letters and signs that aren't ASCII."""
+    words = ["no", "noé", "Noß wer", "ok", "o\u212a", "yeſ", "yes", "ha", "haha", "hahaé", "lol", "lol\u2028", "éour plan", "our plan", "your é", "ago", "íago", "againß", "the ñ that we", "the x i", "we maké", "we set\x0bup", "weé made", "é we tooké", "test-1", "é-1", "\u212aa-7", "hi", "\x0bhi", "hi\x0b", "thankſ", "thank\x0byou", "İ saw", "ı saw", "good ñday", "good\tday", "hi\u0301", "last\u00a0time"]
+    texts = [a + mid + b for a in ("", " ", "\x0b", "é", "\n") for mid in words for b in ("", " \u0085", "ß", "\x0b", ".", " x", "é x")] + [" ", "\x0b", "\u0085", " \u2028", "\x1c"]
+    docs = pa.table({"conv_id": range(len(texts)), "turn": [0] * len(texts), "role": ["user"] * len(texts), "text": texts})
+    pq.write_table(docs, tmp_path / "conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+    for name in ("tier1_gate", "turn_index"):
+        got = {tuple(r) for r in Q.queries()[name](spark, str(tmp_path)).collect()}
+        want = set(con.execute(Q.oracle_sql()[name]).fetchall())
+        assert got == want, (name, [(texts[r[0]], r) for r in sorted(got ^ want)][:9])
+    own = {r.conv_id: r.t for r in spark.read.parquet(f"{tmp_path}/conversations.parquet").select("conv_id", X.collapse(F.col("text")).alias("t")).collect()}
+    assert own == dict(con.execute(r"SELECT conv_id, left(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), 200) FROM conversations").fetchall())
+
+
 def test_bm25_and_stems_equal_sqlite(spark):
     docs = ["running runs quickly", "the élan of foo_bar", "relational databases hopping", "a runner ran here and there", "nothing in common at all", "caresses ponies flies agreed plastered motoring", "happy sky conflated troubled sized falling hissing"]
     con = sqlite3.connect(":memory:")
