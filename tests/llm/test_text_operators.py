@@ -50,6 +50,27 @@ def test_bpe_matches_naive_merging_and_library():
         assert enc.encode(t) == lib.encode_ordinary(t) and enc.decode(enc.encode(t)) == t
 
 
+def test_bpe_side_by_side(monkeypatch):
+    """Short pre-tokens are merged side by side, none by itself, as the queue merges them; texts are split alike by both patterns."""
+    import regex
+
+    ranks = bpe.load_ranks(bpe.VOCABULARY)
+    rng = random.Random(2)
+    pieces = ["".join(rng.choice("aeiouthnrsé <!ß日🙂") for _ in range(rng.randint(1, 9))) for _ in range(3000)] + ["a" * n for n in range(1, 33)] + ["thething" * 4, " internationalisation", "\0\0"]
+    want = {p: [*bpe.merge(p.encode(), ranks)] for p in pieces}
+    both = "".join(chr(c) for c in range(bpe.SIMPLE)) + "".join(rng.choice("a é'sé\x1c\x85\xa0 \t\n5²") + rng.choice("  'tx1") for _ in range(4000))
+    enc = bpe.Encoder(ranks)
+    assert enc.find(both) == regex.findall(bpe.SPLIT, both) and enc.find(both + "日 本") == regex.findall(bpe.SPLIT, both + "日 本")
+    with monkeypatch.context() as m:
+        m.setattr(bpe, "merge", None)
+        enc.learn({p for p in want if len(p.encode()) <= 32})
+    assert all(bpe.array("i", enc[p]).tolist() == ids for p, ids in want.items())
+    m = "word" * 3000  # long ones by the queue, remembered or not
+    assert enc.decode(enc.encode(m)) == m and m not in enc
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    assert enc.encode(" ".join(pieces)) == [*bpe.array("i", b"".join(map(enc.__getitem__, enc.find(" ".join(pieces)))))] and enc.decode(enc.encode(both)) == both
+
+
 def test_bpe_query_round_trip(spark):
     df = odd_rows(spark)
     out = bpe.encode_decode(df)
