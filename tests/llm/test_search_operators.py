@@ -326,3 +326,43 @@ def test_stages_on_empty_and_odd_documents(spark, tmp_path):
             assert out.count() <= df.count()
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == df.columns
+
+
+@pytest.mark.parametrize("crowd", [4, 64])
+def test_near_copies_are_linked_by_their_hub(spark, monkeypatch, crowd):
+    """Of many near copies most pairs aren't formed; classes, links and what stays are as by brute force, copies and documents with two texts included."""
+    rng, rows = random.Random(5), []
+    for base in range(2):
+        own = [f"w{base}x{k}" for k in range(90)]
+        for _ in range(160):
+            x = list(own)
+            for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 14, 20])):
+                x[rng.randrange(90)] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(x)))
+    rows += [(len(rows) + k, rows[7 * k][1]) for k in range(20)] + [(k, rows[k + 30][1]) for k in range(4)] + [(10**6, "other words here"), (10**6 + 1, None)]
+    sets = sorted({(i, frozenset(zip(w, w[1:]))) for i, t in rows if t for w in [t.split()]}, key=lambda x: (x[0], sorted(x[1])))
+    near = [[i for i, (_, y) in enumerate(sets) if len(x & y) >= 0.6 * len(x | y) - 1e-9] for _, x in sets]
+    seen, least = {}, {}
+    for s in range(len(sets)):
+        todo = [s] if s not in seen else []
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen[k] = s
+                todo += near[k]
+        least[seen[s]] = min(least.get(seen[s], 10**9), sets[s][0])
+    want = sorted((d, least[seen[i]], sum(sets[j][0] != d for j in near[i])) for i, (d, _) in enumerate(sets)) + [(10**6 + 1, 10**6 + 1, 0)]
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    formed, write = {}, jaccard.written
+
+    def counted(df, label):
+        out = write(df, label)
+        formed[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.links) for r in jaccard.linked(df).collect()) == want
+    assert 0 < formed["jaccard-pairs"] < 160 * 159 / 2, formed  # a quarter of the pairs of two groups' sets would be more
+    stay = {r.doc_id for r in jaccard.keep_one(df).collect()}
+    assert stay == {min(d for i, (d, _) in enumerate(sets) if seen[i] == s) for s in set(seen.values())} | {10**6 + 1}
