@@ -28,6 +28,8 @@ K1, B, MIDPOINT, STEEPNESS = 1.2, 0.75, 1.0, 1.0
 POOL, K, THETA = 256, 3, 0.35
 #: Prompts whose weights are sent to every task; documents that are multiplied at once.
 SENT_PROMPTS, ROWS = 1000, 256
+#: Bytes of documents whose words are held at once: memory follows the longest document, not the batch.
+HELD = 2_000_000
 
 
 def indexed(docs: DataFrame, stemmed: bool = False) -> DataFrame:
@@ -92,18 +94,30 @@ def _numbers(lists: list[list[str]]) -> dict[str, int]:
     return {w: k for k, w in enumerate(dict.fromkeys(w for own in lists for w in own))}
 
 
-def _terms(column: pa.Array, kind: str, prompts: _Prompts) -> Iterator[tuple[int, tuple, tuple]]:
-    """Length, and known index terms and words, of each document: a text, or an index row (dl, terms, tfs, words)."""
-    find = X.PATTERN.findall
-    for x in column.to_pylist():
+def _held(column: pa.Array) -> Iterator[pa.Array]:
+    """A column in slices of some MB, one row at least."""
+    lo, most = 0, max(1, len(column))
+    while lo < len(column):
+        n = min(most, len(column) - lo)
+        while n > 1 and column.slice(lo, n).nbytes > HELD:
+            n = max(1, n // 2)
+        yield column.slice(lo, n)
+        lo, most = lo + n, 2 * n
+
+
+def _terms(column: pa.Array, kind: str, prompts: _Prompts, said: bool = True) -> Iterator[tuple[int, tuple, tuple]]:
+    """Length, and known index terms and, with ``said``, words of each document: a text, or an index row (dl, terms, tfs, words)."""
+    find, none = X.PATTERN.findall, (np.zeros(0, np.int64),) * 2
+    for x in (x for part in _held(column) for x in part.to_pylist()):
         if kind == "text":
-            words = find(x.lower()) if x else []
+            words = find(x.lower()) if x and (said or not prompts.stemmed) else []
             own = index_words(x or "") if prompts.stemmed else words
-            yield len(own), prompts.known(own, prompts.terms), prompts.known(words, prompts.words)
+            known = prompts.known(own, prompts.terms)
+            yield len(own), known, none if not said else prompts.known(words, prompts.words) if prompts.stemmed else known
         else:
             at = [(n, f) for w, f in zip(x["terms"] or [], x["tfs"] or []) if (n := prompts.terms.get(w)) is not None]
-            own = tuple(np.array(v) for v in zip(*at)) if at else (np.zeros(0, np.int64),) * 2
-            yield x["dl"], own, prompts.known(x["words"] or [], prompts.words) if prompts.stemmed else own
+            own = tuple(np.array(v) for v in zip(*at)) if at else none
+            yield x["dl"], own, prompts.known(x["words"] or [], prompts.words) if prompts.stemmed and said else own
 
 
 def _asked(prompts: DataFrame, stemmed: bool) -> DataFrame:
@@ -123,7 +137,7 @@ def _scored(docs: DataFrame, rows: list, prompts: DataFrame, where: Column | Non
         p = sent.value
         df, n, total = np.zeros(len(p.terms), np.int64), 0, 0
         for b in batches:
-            for dl, (terms, _), _ in _terms(b.column(0), kind, p):
+            for dl, (terms, _), _ in _terms(b.column(0), kind, p, said=False):
                 df[terms] += 1
                 n, total = n + 1, total + dl
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *range(len(df))], pa.int32()), pa.array([n, total, *df.tolist()], pa.int64())], ["term", "n"])
@@ -245,14 +259,19 @@ def index_rows(docs: DataFrame, generation: int = 0, stemmed: bool = False) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for x in b.column(1).to_pylist():
-                words = X.PATTERN.findall(x.lower()) if x else []
-                own = index_words(x or "") if stemmed else words
-                count = sorted(Counter(own).items())
-                rows.append((len(own), [t for t, _ in count], [n for _, n in count], list(dict.fromkeys(words)) if stemmed else None))
-            dl, terms, tfs, words = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dl, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.string()))], ["id", "dl", "terms", "tfs", "words"])
+            lo = 0
+            for part in _held(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), *columns(part)], ["id", "dl", "terms", "tfs", "words"])
+                lo += len(part)
+
+    def columns(texts: pa.Array) -> list[pa.Array]:
+        rows = []
+        for x in texts.to_pylist():
+            words = X.PATTERN.findall(x.lower()) if x else []
+            own = index_words(x or "") if stemmed else words
+            count = sorted(Counter(own).items())
+            rows.append((len(own), [t for t, _ in count], [n for _, n in count], list(dict.fromkeys(words)) if stemmed else None))
+        return [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())))]
 
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T._parse_datatype_string("dl int, terms array<string>, tfs array<int>, words array<string>").fields])
     out = docs.select("id", "text").mapInArrow(run, schema)
