@@ -279,6 +279,30 @@ def test_all_ways_of_search_agree(spark, monkeypatch, stemmed):
     assert take(docs.limit(0)) == [] and lexical.search(docs, prompts, 0).count() == 0
 
 
+def test_index_holds_a_slice_of_a_batch(spark, monkeypatch):
+    """Words of a few documents are held at once, however many rows a batch has; a long one is alone."""
+    texts = [f"word{i} " * (i % 50) for i in range(400)] + ["long " * 5000, None, ""]
+    monkeypatch.setattr(lexical, "HELD", 3000)
+    parts = list(lexical._held(pa.array(texts)))
+    assert [x for p in parts for x in p.to_pylist()] == texts and all(p.nbytes <= 3000 or len(p) == 1 for p in parts) and len(parts) < len(texts)
+    assert list(lexical._held(pa.array([], pa.string()))) == []
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r.id: (r.dl, r.terms, r.tfs) for r in lexical.index_rows(df).collect()}
+    assert got == {i: (n, *(([t.split()[0]], [n]) if n else ([], []))) for i, t in enumerate(texts) for n in [len((t or "").split())]}
+
+
+def test_words_are_folded_whole(monkeypatch):
+    """Texts are folded by the buffer, none a character at a time, with the same words; stems don't depend on what was met before."""
+    plain = lambda t: "".join(c for c in __import__("unicodedata").normalize("NFD", t.lower()) if not __import__("unicodedata").combining(c))
+    rng = random.Random(4)
+    texts = ["Élan foo_bar ÑANDÚ", "a\u034fb\u0301c", "日本語 가각 \U0001d165x", ""] + ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x300, 0x380), rng.randrange(0x5b0, 0x1000)])) for _ in range(40)) for _ in range(500)]
+    want = [stem.re.findall(r"[^\W_]+", plain(t)) for t in texts]
+    with monkeypatch.context() as m:
+        m.setattr(stem, "unicodedata", type("U", (), {"normalize": staticmethod(stem.unicodedata.normalize)}))  # asks for no character's class
+        assert [stem.fold(t) for t in texts] == want
+    assert stem.index_words("Relational sky flying nationalizations yes") == [stem.porter(w) for w in "relational sky flying nationalizations yes".split()]
+
+
 def test_vectors_in_slices(spark, monkeypatch):
     import numpy as np
 
